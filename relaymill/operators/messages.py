@@ -110,7 +110,7 @@ def with_document(messages: DataFrame, into: str) -> DataFrame:
         )
     )
     carried = F.map_filter(
-        F.col("verbatim").cast("map<string,variant>"),
+        F.try_variant_get(F.col("verbatim"), "$", "map<string,variant>"),
         lambda key, _: ~F.array_contains(F.col("_supplied"), key),
     )
     document = F.concat(

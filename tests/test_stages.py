@@ -1,0 +1,154 @@
+"""Handlers of stages 2 to 4 on documents taken from queues."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from relaymill.operators import messages as M
+from relaymill.plans import flows
+from relaymill.schema import HANDLERS, QUEUES, ROUTES, handler_of, next_queue
+
+def clock():
+    return F.col("clock")
+BASE = {"message_id": "m", "item_id": 1, "history": []}
+
+
+def doc(**keys):
+    return json.dumps(BASE | keys)
+
+
+def run(records, queue):
+    """Per document its rejection reason, or the document handed on."""
+    rows = flows.forward(records, queue, clock()).orderBy("seq").collect()
+    return [r.reject_reason or json.loads(r.body) for r in rows]
+
+
+def one(as_records, body, queue):
+    return run(as_records([body]), queue)[0]
+
+
+def test_registry():
+    assert len(QUEUES) == 6 and set(HANDLERS) == set(QUEUES)
+    assert [next_queue(q) for q in ROUTES[1]] == [*ROUTES[1][1:], None]
+    with pytest.raises(ValueError, match="unknown queue"):
+        handler_of("flow3_p1_to_p2")
+
+
+COUNTERS = [(500, 510), (0, 10), (-10, 0), (1.5, 11.5), (2.0, 12), (True, 11), (False, 10),
+     (2**31, 2**31 + 10), (2**53 + 1, 2**53 + 11), (1e300, 1e300)]
+
+
+def test_counter_values(as_records):
+    out = run(as_records([doc(counter=c) for c, _ in COUNTERS]), ROUTES[1][0])
+    assert [o["counter"] for o in out] == [expected for _, expected in COUNTERS]
+    assert all(o["process2_flow1_reflected"] is True for o in out)
+
+
+def test_counter_absent_null_or_no_number(as_records):
+    bodies = [doc()] + [doc(counter=c) for c in (None, "5", [5], {"a": 5})]
+    out = run(as_records(bodies), ROUTES[1][0])
+    assert out[0]["counter"] == 10
+    assert out[1:] == ["counter_not_a_number"] * 4
+
+
+VALUES = [(35.0, "HIGH", 40.25), (31.8, "HIGH", 36.57), (30.0, "NORMAL", 34.5), (30.01, "HIGH", 34.51),
+     (0.0, "NORMAL", 0.0), (-5.0, "NORMAL", -5.75), (3.5, "NORMAL", 4.02), (31, "HIGH", 35.65),
+     (True, "NORMAL", 1.15), (26.5, "NORMAL", 30.47), (29.5, "NORMAL", 33.92), (35.5, "HIGH", 40.82),
+     (38.5, "HIGH", 44.27), (32.5, "HIGH", 37.38)]
+
+
+def test_classified_and_scaled(as_records):
+    out = run(as_records([doc(value=v) for v, _, _ in VALUES]), ROUTES[2][0])
+    assert [(o["examined_status"], o["value"]) for o in out] == [(s, x) for _, s, x in VALUES]
+    assert [o["history"][-1]["status_assigned"] for o in out] == [s for _, s, _ in VALUES]
+
+
+def test_value_absent_null_or_no_number(as_records):
+    bodies = [doc()] + [doc(value=v) for v in (None, "31", [31.0], {})]
+    out = run(as_records(bodies), ROUTES[2][0])
+    assert (out[0]["value"], out[0]["examined_status"]) == (0.0, "NORMAL")
+    assert out[1:] == ["value_not_a_number"] * 4
+
+
+@pytest.mark.parametrize("queue", QUEUES)
+def test_documents_no_handler_takes(as_records, queue):
+    bad_history = [json.dumps({k: v for k, v in BASE.items() if k != "history"} | {"counter": 1, "value": 1.0})]
+    bad_history += [doc(counter=1, value=1.0, history=h) for h in (None, "x", 5, {"a": 1})]
+    bodies = ["", "{", "not json", "[1]", '"x"', "null", "12", doc() + " x", doc() + doc(),
+              '{"value": NaN}', *bad_history]
+    assert run(as_records(bodies), queue) == (
+        ["not_json"] * 3 + ["not_an_object"] * 4 + ["not_json"] * 3 + ["history_not_a_list"] * 5
+    )
+
+
+def test_json_acceptance_is_the_parsers_own(as_records):
+    texts = ['{"a":1,}', '{"a":.5}', '{"a":01}', '{"a":+1}', '{"a":1.}', '{"a":"\t"}', '{"a":"\\x"}',
+             "{'a':1}", '{"a":1} // c', '{"a" 1}', '{,}', '{"a":tru}', '﻿{}', ' {}', '\x0c{}',
+             '{"a":{"b":{}}}', '{"a":[[[]]]}', '{"a":"]]}}"}', '{"a":"\\u00e9é\\n"}', ' {} \r\n\t',
+             '{"a":[1,[2]]}', '{"a":[1,[2]]]}', '{"a":[[1]] }}', '{"a":-0.0,"b":1E5,"c":1e-5}']
+    out = run(as_records(texts), ROUTES[1][0])
+    for text, got in zip(texts, out):
+        try:
+            json.loads(text)
+            assert got == "history_not_a_list", text
+        except ValueError:
+            assert got == "not_json", text
+
+
+def test_counter_is_tested_before_history(as_records):
+    assert one(as_records, '{"counter": null}', ROUTES[1][0]) == "counter_not_a_number"
+    assert one(as_records, '{"value": null}', ROUTES[2][0]) == "value_not_a_number"
+
+
+@pytest.mark.parametrize("queue", QUEUES)
+def test_other_keys_are_carried(as_records, queue):
+    extra = {"tag": "é\"\\", "none": None, "deep": {"z": [1, {"y": None}], "a": ""}, "big": 10**30,
+             "float": 0.1, "": 5, "verbatim": 1, "other": [], "flow": "odd", "initial_data": 7}
+    out = one(as_records, doc(counter=1, value=2.0, **extra), queue)
+    assert {k: out[k] for k in extra} == extra
+    assert out["message_id"] == "m" and out["item_id"] == 1
+
+
+def test_entries_of_any_kind_stay_in_order(as_records):
+    history = [1, "x", None, [2], {}, {"stage": "a"}, {"stage": 5}, {"stage": None}, {"extra": "k"},
+               {"stage": "a", "extra": {"b": 1}}, {"timestamp": "t", "status": "é\"\n", "source": ""}]
+    out = one(as_records, doc(counter=1, history=history), ROUTES[1][0])
+    assert out["history"][:-1] == history
+    assert out["history"][-1] == {
+        "stage": "process2_reflected",
+        "timestamp": "2025-08-20 10:15:20",
+        "modification": "Added +10 to counter and flagged reflected",
+    }
+
+
+def test_repeated_keys_keep_the_last(as_records):
+    body = '{"counter": 1, "counter": 41, "history": [7], "history": [], "k": 1, "k": 2}'
+    out = one(as_records, body, ROUTES[1][0])
+    assert (out["counter"], len(out["history"]), out["k"]) == (51, 1, 2)
+
+
+def test_stage3(as_records):
+    out = one(as_records, doc(counter=7), ROUTES[1][1])
+    assert out["process3_acknowledged"] is True and out["counter"] == 7
+    out = one(as_records, doc(value=7, verified_by="x", completed=0), ROUTES[2][1])
+    assert (out["verified_by"], out["completed"], out["value"]) == ("process3", True, 7)
+
+
+def test_queue_decides_not_the_flow_key(as_records):
+    out = one(as_records, doc(flow=2, counter=1), ROUTES[1][0])
+    assert out["counter"] == 11 and out["flow"] == 2 and "examined_status" not in out
+
+
+def test_rejected_document_is_kept_as_received(as_records):
+    body = doc(counter=None, tag=1)
+    done = flows.handle(as_records([body, doc(counter=1)]), ROUTES[1][0], clock())
+    (lost,) = M.rejected(done).collect()
+    assert (lost.seq, lost.stage, lost.reason, lost.body) == (1, 2, "counter_not_a_number", body)
+    assert [r.seq for r in M.accepted(done).collect()] == [2]
+
+
+def test_clock_defaults_to_now(as_records):
+    out = flows.forward(as_records([doc()]), ROUTES[1][1]).first()
+    stamp = json.loads(out.body)["history"][-1]["timestamp"]
+    assert stamp > "2025-08-20 10:15:20" and len(stamp) == 19
