@@ -12,42 +12,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_BLANKS = " \t\r\n"  # whitespace between JSON tokens
+
+# Where the document is in the value that with_json makes.
+ROOT = "$[0][0]"
+
+
+def enclosed(text: Column) -> Column:
+    """Text of one document as with_json encloses it."""
+    return F.concat(F.lit("[["), text, F.lit("]]"))
+
+
 def with_json(rows: DataFrame, text: str, into: str) -> DataFrame:
-    """Add the VARIANT of a text column that is exactly one JSON document, else NULL.
+    """Add the parsed form of a text that is exactly one JSON document, else NULL.
 
     ``try_parse_json`` stops after the first document and ignores what follows, so the
     text is parsed as the only element of ``[[ text ]]``, where trailing text is an error.
     The one way to escape is to close both brackets early; then the text has ``]]`` in it
     and a second parse as an object member, where ``]`` cannot close anything, decides.
 
-    Works on a table rather than a column so that the parsed value is a column of its own
-    before it is looked at: a document is then parsed once.
+    The VARIANT stays enclosed (the document is at ROOT), as taking the document out would
+    build it a second time. It is a column of its own before it is looked at, so that it
+    is parsed once.
     """
     source = F.col(text)
-    nested = F.try_parse_json(F.concat(F.lit("[["), source, F.lit("]]")))
     member = F.try_parse_json(F.concat(F.lit('{"d":'), source, F.lit("}")))
-    parsed = F.col("_nested")
+    parsed = F.col("_enclosed")
     single = F.try_variant_get(parsed, "$[0][1]", "variant").isNull() & (
         F.try_variant_get(parsed, "$[1]", "variant").isNull()
     )
     trusted = ~source.rlike(r"\]\s*\]") | member.isNotNull()
+    blank = F.ltrim(source, F.lit(_BLANKS)) == ""
     return (
-        rows.withColumn("_nested", nested)
-        .withColumn(
-            into,
-            F.when(
-                F.is_valid_utf8(source) & single & trusted,
-                F.try_variant_get(parsed, "$[0][0]", "variant"),
-            ),
-        )
-        .drop("_nested")
+        rows.withColumn("_enclosed", F.try_parse_json(enclosed(source)))
+        .withColumn(into, F.when(F.is_valid_utf8(source) & ~blank & single & trusted, parsed))
+        .drop("_enclosed")
     )
 
 
 def object_fields(document: Column, keys: Iterable[str]) -> Column:
     """STRUCT of VARIANTs for the given keys, NULL when the document is not an object."""
     layout = ", ".join(f"{key}: variant" for key in keys)
-    return F.try_variant_get(document, "$", f"struct<{layout}>")
+    return F.try_variant_get(document, ROOT, f"struct<{layout}>")
+
+
+def field(document: Column, key: str) -> Column:
+    """One key of the document as a VARIANT."""
+    return F.try_variant_get(document, f"{ROOT}.{key}", "variant")
+
+
+def is_object_text(text: Column) -> Column:
+    """Of a text known to be JSON: whether the document is an object."""
+    return F.ltrim(text, F.lit(_BLANKS)).startswith("{")
 
 
 def kind(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relaymill.functions import audit, json_values as J
-from relaymill.schema import MESSAGE, STORED_KEYS
+from relaymill.schema import HISTORY, MESSAGE, STORED_KEYS, UNSTORED_FLAGS
 
 _BASE = ("flow", "message_id", "item_id", "initial_data", "counter")
 _FLAGS = (
@@ -16,6 +16,7 @@ _FLAGS = (
     "verified_by",
     "completed",
 )
+_KNOWN = (*STORED_KEYS, *UNSTORED_FLAGS)
 
 
 def with_missing_columns(messages: DataFrame) -> DataFrame:
@@ -72,26 +73,22 @@ def decode(records: DataFrame, stage: int) -> DataFrame:
     stays in ``body`` for the reject output.
     """
     parsed = J.with_json(records, "body", "verbatim")
-    # history is taken out in the same pass over the object as the stored keys
-    opened = parsed.withColumn(
-        "_opened", J.object_fields(F.col("verbatim"), (*STORED_KEYS, "history"))
+    document = F.col("verbatim")
+    opened = parsed.withColumns(
+        {f"read_{key}": J.field(document, key) for key in _KNOWN}
+        | {
+            "past": audit.past_text(F.col("body"), J.field(document, "history")),
+            "keys": F.json_object_keys("body"),
+        }
     )
-    typed = (
-        audit.with_trail(opened.withColumn("_array", F.col("_opened.history")), "_array", "history")
-        .withColumn(
-            "fields",
-            F.when(
-                F.col("_opened").isNotNull(),
-                F.struct(*[F.col(f"_opened.{key}").alias(key) for key in STORED_KEYS]),
-            ),
-        )
-        .drop("_opened", "_array")
+    started = opened.withColumn(
+        "history", F.when(F.col("past").isNotNull(), F.array().cast(HISTORY))
     )
     return reject(
-        with_missing_columns(typed),
+        with_missing_columns(started),
         stage,
-        (F.col("verbatim").isNull(), "not_json"),
-        (F.col("fields").isNull(), "not_an_object"),
+        (document.isNull(), "not_json"),
+        (~J.is_object_text(F.col("body")), "not_an_object"),
     )
 
 
@@ -101,18 +98,21 @@ def with_document(messages: DataFrame, into: str) -> DataFrame:
     def real(name: str, key: str) -> Column:
         return F.concat(F.lit(f'"{key}":'), F.col(name).cast("string"))
 
-    # Keys the typed columns supply; all others are carried over from the document read.
-    supplied = F.array_compact(
-        F.array(
-            *[F.when(F.col(k).isNotNull(), F.lit(k)) for k in (*_BASE, "value", *_FLAGS)],
-            F.when(F.col("counter_real").isNotNull(), F.lit("counter")),
-            F.when(F.col("history").isNotNull(), F.lit("history")),
-        )
-    )
-    carried = F.map_filter(
-        F.try_variant_get(F.col("verbatim"), "$", "map<string,variant>"),
-        lambda key, _: ~F.array_contains(F.col("_supplied"), key),
+    # Known keys no stage has set are written as they were read. Keys nobody knows are
+    # carried over too; most documents have none, and then are not taken apart.
+    def unset(key: str) -> Column:
+        free = F.col(key).isNull()
+        if key == "counter":
+            free = free & F.col("counter_real").isNull()
+        return F.when(free, F.col(f"read_{key}")).alias(key)
+
+    handled = (*_KNOWN, "history")
+    has_others = F.size(F.array_except("keys", F.array(*[F.lit(k) for k in handled]))) > 0
+    others = F.map_filter(
+        F.try_variant_get(F.col("verbatim"), J.ROOT, "map<string,variant>"),
+        lambda key, _: ~key.isin(*handled),
     )
+    was_read = F.col("keys").isNotNull()
     document = F.concat(
         F.lit("{"),
         F.concat_ws(
@@ -120,24 +120,26 @@ def with_document(messages: DataFrame, into: str) -> DataFrame:
             J.object_body(F.col("_base")),
             real("counter_real", "counter"),
             real("value", "value"),
-            F.concat(F.lit('"history":'), audit.to_json(F.col("history"))),
+            F.concat(
+                F.lit('"history":'), audit.document_text(F.col("past"), F.col("history"))
+            ),
             J.object_body(F.col("_flags")),
-            J.object_body(F.col("_carried")),
+            J.object_body(F.col("_unset")),
+            J.object_body(F.col("_others")),
         ),
         F.lit("}"),
     )
-    was_read = F.col("verbatim").isNotNull()
     return (
-        messages.withColumn("_supplied", F.when(was_read, supplied))
-        .withColumns(
+        messages.withColumns(
             {
                 "_base": F.to_json(F.struct(*_BASE)),
                 "_flags": F.to_json(F.struct(*_FLAGS)),
-                "_carried": F.when(was_read, F.to_json(carried)),
+                "_unset": F.when(was_read, F.to_json(F.struct(*[unset(k) for k in _KNOWN]))),
+                "_others": F.when(has_others, F.to_json(others)),
             }
         )
         .withColumn(into, document)
-        .drop("_supplied", "_base", "_flags", "_carried")
+        .drop("_base", "_flags", "_unset", "_others")
     )
 
 

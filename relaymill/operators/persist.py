@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaymill.functions import json_values as J
+from relaymill.functions import audit, json_values as J
 from relaymill.operators.messages import reject, with_document
 from relaymill.schema import INT_MAX, INT_MIN, KEPT, OVERWRITTEN, PROCESSED, TEXT_LIMITS
 
@@ -25,7 +25,7 @@ _REQUIRED = ("message_id", "flow", "item_id")
 
 def _text(key: str) -> Column:
     """Text of a scalar, NULL for a list or object (and for null)."""
-    read = F.col(f"fields.{key}")
+    read = F.col(f"read_{key}")
     kind = J.kind(read)
     scalar = (
         F.when(kind == "BOOLEAN", J.as_bigint(read).cast("string"))
@@ -36,7 +36,7 @@ def _text(key: str) -> Column:
 
 def _number(key: str) -> Column:
     """DOUBLE of a number or numeric text, NULL otherwise."""
-    read = F.col(f"fields.{key}")
+    read = F.col(f"read_{key}")
     kind = J.kind(read)
     return F.when(
         kind == "STRING", F.trim(F.try_variant_get(read, "$", "string")).try_cast("double")
@@ -76,7 +76,7 @@ def to_rows(messages: DataFrame, created_at: Column | None = None) -> DataFrame:
     rules: list[tuple[Column, str]] = []
     for key in cells:
         cell = F.col(f"_{key}")
-        given = F.col(key).isNotNull() | J.is_present(F.col(f"fields.{key}"))
+        given = F.col(key).isNotNull() | J.is_present(F.col(f"read_{key}"))
         if key == "counter":
             given = given | F.col("counter_real").isNotNull()
         if key in _REQUIRED:
@@ -86,7 +86,8 @@ def to_rows(messages: DataFrame, created_at: Column | None = None) -> DataFrame:
             rules.append((F.length(cell) > TEXT_LIMITS[key], f"{key}_too_long"))
         elif key != "value":
             rules.append((~cell.between(INT_MIN, INT_MAX), f"{key}_out_of_range"))
-    checked = with_document(reject(typed, 4, *rules), "raw_payload")
+    # the document takes the entries read as text, the table takes them typed
+    checked = audit.with_full_trail(with_document(reject(typed, 4, *rules), "raw_payload"))
 
     layout = {f.name: f.dataType for f in PROCESSED.fields}
     columns = [

@@ -49,7 +49,7 @@ def _stamped(constants: dict[str, str], clock: Column | None, **computed: Column
 
 def _not_number(key: str) -> tuple[Column, str]:
     """The key is there but holds null, text, a list or an object."""
-    value = F.col(f"fields.{key}")
+    value = F.col(f"read_{key}")
     bad = value.isNotNull() & ~J.is_number(J.kind(value))
     return bad, f"{key}_not_a_number"
 
@@ -58,7 +58,7 @@ def reflect_counter(
     messages: DataFrame, clock: Column | None = None, where: Column | None = None
 ) -> DataFrame:
     """Flow 1, stage 2: counter + 10 (0 when absent), flag, audit entry."""
-    read = F.col("fields.counter")
+    read = F.col("read_counter")
     # What a previous stage left in the typed columns, else what was received. A number
     # that is no 64-bit integer continues in counter_real.
     received = messages.withColumns(
@@ -95,7 +95,7 @@ def examine_value(
     messages: DataFrame, clock: Column | None = None, where: Column | None = None
 ) -> DataFrame:
     """Flow 2, stage 2: HIGH above the threshold, then value scaled and rounded."""
-    read = F.col("fields.value")
+    read = F.col("read_value")
     received = messages.withColumn(
         "_raw",
         F.coalesce(

@@ -33,7 +33,7 @@ def _wall(name: str = "created_at") -> Column:
 
 def _read(key: str, type_: str) -> Column:
     """A key of a message as its typed column, or as it was read from the queue."""
-    read = F.try_variant_get(F.col(f"fields.{key}"), "$", type_)
+    read = F.try_variant_get(F.col(f"read_{key}"), "$", type_)
     return F.coalesce(F.col(key), read).alias(key)
 
 
@@ -113,7 +113,7 @@ def queue_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow1_reflect(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = fixtures.records(spark, sf_dir, 1)
     done = flows.handle(records, ROUTES[1][0], _clock())
-    return M.accepted(done).select(
+    return audit.with_full_trail(M.accepted(done)).select(
         "seq",
         _read("message_id", "string"),
         _read("item_id", "bigint"),
@@ -126,7 +126,7 @@ def flow1_reflect(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow2_examine(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = fixtures.records(spark, sf_dir, 2)
     done = flows.handle(records, ROUTES[2][0], _clock())
-    return M.accepted(done).select(
+    return audit.with_full_trail(M.accepted(done)).select(
         "seq",
         _read("message_id", "string"),
         _read("item_id", "bigint"),
@@ -139,7 +139,7 @@ def flow2_examine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow1_acknowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     hop = flows.forward(fixtures.records(spark, sf_dir, 1), ROUTES[1][0], _clock())
     done = flows.handle(M.accepted(hop).select("seq", "clock", "body"), ROUTES[1][1], _clock())
-    return M.accepted(done).select(
+    return audit.with_full_trail(M.accepted(done)).select(
         "seq",
         _read("message_id", "string"),
         _read("counter", "bigint"),
@@ -151,7 +151,7 @@ def flow1_acknowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow2_seal(spark: SparkSession, sf_dir: str) -> DataFrame:
     hop = flows.forward(fixtures.records(spark, sf_dir, 2), ROUTES[2][0], _clock())
     done = flows.handle(M.accepted(hop).select("seq", "clock", "body"), ROUTES[2][1], _clock())
-    return M.accepted(done).select(
+    return audit.with_full_trail(M.accepted(done)).select(
         "seq",
         _read("message_id", "string"),
         _read("value", "double"),
@@ -187,7 +187,7 @@ def missing_vs_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def judged(flow: int, key: str) -> DataFrame:
         done = flows.handle(fixtures.faulty_records(spark, sf_dir, flow), ROUTES[flow][0], _clock())
-        read = F.col(f"fields.{key}")
+        read = F.col(f"read_{key}")
         passed = F.col("reject_reason").isNull()
         return done.select(
             "seq",

@@ -92,6 +92,8 @@ AUDIT_ENTRY = T.StructType(
 )
 HISTORY = T.ArrayType(AUDIT_ENTRY)
 
+# Keys without a column in the table; they are kept in the stored document only.
+UNSTORED_FLAGS = ("process2_flow1_reflected", "process3_acknowledged", "completed")
 # Message keys the sink stores in a column of its own.
 STORED_KEYS = (
     "message_id",
@@ -105,9 +107,10 @@ STORED_KEYS = (
 )
 
 # A message between stages. A typed column that is not NULL is the value of its key; for
-# a NULL column the value, if any, is in ``fields`` / ``verbatim``, the message as it was
-# read from a queue (both NULL for a message built here). ``counter_real`` stands in for
-# ``counter`` when the number is not a 64-bit integer.
+# a NULL column the value, if any, is what was read from the queue: ``read_<key>``, and
+# ``verbatim`` for all ``keys`` (NULL for a message built here). ``counter_real`` stands in
+# for ``counter`` when the number is not a 64-bit integer. ``history`` holds the entries
+# added since the message was read, ``past`` the JSON text of those read with it.
 MESSAGE = T.StructType(
     [
         T.StructField("seq", T.LongType()),
@@ -119,6 +122,7 @@ MESSAGE = T.StructType(
         T.StructField("counter", T.LongType()),
         T.StructField("counter_real", T.DoubleType()),
         T.StructField("value", T.DoubleType()),
+        T.StructField("past", T.StringType()),
         T.StructField("history", HISTORY),
         T.StructField("process2_flow1_reflected", T.BooleanType()),
         T.StructField("process3_acknowledged", T.BooleanType()),
@@ -126,10 +130,8 @@ MESSAGE = T.StructType(
         T.StructField("verified_by", T.StringType()),
         T.StructField("completed", T.BooleanType()),
         T.StructField("verbatim", T.VariantType()),
-        T.StructField(
-            "fields",
-            T.StructType([T.StructField(k, T.VariantType()) for k in STORED_KEYS]),
-        ),
+        T.StructField("keys", T.ArrayType(T.StringType())),
+        *[T.StructField(f"read_{key}", T.VariantType()) for key in (*STORED_KEYS, *UNSTORED_FLAGS)],
         T.StructField("reject_stage", T.IntegerType()),
         T.StructField("reject_reason", T.StringType()),
     ]
