@@ -131,7 +131,12 @@ def to_json(history: Column) -> Column:
 
 def pretty(history: Column) -> Column:
     """Indented JSON text of a trail, for reading."""
-    return F.to_json(F.try_parse_json(to_json(history)), {"pretty": "true"})
+    indented = {"pretty": "true"}
+    pieces = F.transform(history, lambda e: F.coalesce(e["other"], F.to_json(e, indented)))
+    mixed = F.concat(F.lit("[ "), F.array_join(pieces, ", "), F.lit(" ]"))
+    return F.when(F.exists(history, lambda e: e["other"].isNotNull()), mixed).otherwise(
+        F.to_json(history, indented)
+    )
 
 
 def step_count(history: Column) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from relaymill.schema import QUEUE_RECORD, handler_of
 
 ACCEPTED, REJECTED = "accepted", "rejected"
+# JSON files would otherwise cut the clock to milliseconds.
+_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 QUEUE_FILE = T.StructType(
     [
@@ -31,6 +33,10 @@ def queue_path(root: str, queue: str) -> str:
     return f"{root.rstrip('/')}/queues/{queue}"
 
 
+def _reader(reader, format: str):
+    return reader.schema(QUEUE_FILE).format(format).options(**_OPTIONS)
+
+
 def with_outcome(records: DataFrame) -> DataFrame:
     """Add the ``outcome`` column; records without reject columns are all accepted."""
     if "reject_reason" not in records.columns:
@@ -53,12 +59,13 @@ def publish(records: DataFrame, root: str, queue: str, format: str = "parquet")
     then go by the stream's own file log.
     """
     out = with_outcome(records).select(*QUEUE_FILE.names)
-    out.write.mode("append").partitionBy("outcome").format(format).save(queue_path(root, queue))
+    writer = out.write.mode("append").partitionBy("outcome").options(**_OPTIONS)
+    writer.format(format).save(queue_path(root, queue))
 
 
 def consume(spark: SparkSession, root: str, queue: str, format: str = "parquet") -> DataFrame:
     """Records waiting in a queue."""
-    found = spark.read.schema(QUEUE_FILE).format(format).load(queue_path(root, queue))
+    found = _reader(spark.read, format).load(queue_path(root, queue))
     return found.where(F.col("outcome") == ACCEPTED).select(*QUEUE_RECORD.names)
 
 
@@ -66,7 +73,7 @@ def dead_letters(
     spark: SparkSession, root: str, queue: str, format: str = "parquet"
 ) -> DataFrame:
     """Records the handler feeding ``queue`` set aside."""
-    found = spark.read.schema(QUEUE_FILE).format(format).load(queue_path(root, queue))
+    found = _reader(spark.read, format).load(queue_path(root, queue))
     return found.where(F.col("outcome") == REJECTED).select(
         "seq", F.col("reject_stage").alias("stage"), F.col("reject_reason").alias("reason"), "body"
     )
@@ -81,7 +88,7 @@ def stream_queue(
 ) -> DataFrame:
     """A queue as a stream. ``max_files`` bounds what one micro-batch takes on, the
     counterpart of a consumer's prefetch limit."""
-    reader = spark.readStream.schema(QUEUE_FILE).format(format)
+    reader = _reader(spark.readStream, format)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     found = reader.load(queue_path(root, queue))
@@ -96,7 +103,7 @@ def sink_queue(records: DataFrame, root: str, queue: str, format: str = "parquet
         .writeStream.format(format)
         .partitionBy("outcome")
         .outputMode("append")
-        .option("path", queue_path(root, queue))
+        .options(path=queue_path(root, queue), **_OPTIONS)
     )
 
 
