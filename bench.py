@@ -1,7 +1,7 @@
 """Headline queries, timed. Prints one JSON line.
 
 Each query is run to the end (every column of every row) into a sink that keeps nothing,
-once to warm up and then RUNS times; the best time counts. Streaming queries do their
+once to warm up and then RUNS more times; the best time counts. Streaming queries do their
 work when called, so the call is inside the timing.
 """
 
@@ -15,7 +15,7 @@ import time
 from relaymill.plans import catalog
 from relaymill.session import local_session
 
-RUNS = 2
+RUNS = 1
 HEADLINE = (
     "request_outcome",
     "ingest_flow1",

@@ -337,7 +337,7 @@ def _reparsed(details: DataFrame) -> DataFrame:
 def lookup_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The message whose id is the smallest of the table."""
     rows = _scan(spark, sf_dir)
-    wanted = rows.select(F.min("message_id").alias("message_id"))
+    wanted = rows.select(F.min("message_id").alias("message_id"))  # one row
     return _shown(rows.join(F.broadcast(wanted), "message_id", "left_semi"))
 
 
@@ -422,19 +422,16 @@ def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deliveries and redeliveries through the stateful upsert, in two micro-batches."""
+    """Deliveries, then redeliveries, through the stateful upsert: it is stopped after the
+    first and resumes from its checkpoint for the second."""
     root = _run_root(spark, "upsert")
     columns = [f for f in T.DELIVERY.fields if f.name in ("seq", *_delivered())]
+    layout = ",".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
     for part in (_rows(spark, sf_dir), _again(spark, sf_dir)):
-        M.accepted(part).select(*[f.name for f in columns]).coalesce(1).write.mode(
-            "append"
-        ).parquet(f"{root}/deliveries")
-    arriving = (
-        spark.readStream.schema(",".join(f"{f.name} {f.dataType.simpleString()}" for f in columns))
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{root}/deliveries")
-    )
-    streaming.start_upsert(arriving, root).awaitTermination()
+        arrived = M.accepted(part).select(*[f.name for f in columns])
+        arrived.write.mode("append").parquet(f"{root}/deliveries")
+        arriving = spark.readStream.schema(layout).parquet(f"{root}/deliveries")
+        streaming.start_upsert(arriving, root).awaitTermination()
     return _shown(streaming.upserted(spark, root))
 
 
