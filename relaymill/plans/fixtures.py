@@ -12,6 +12,7 @@ from relaymill.functions import audit
 from relaymill.functions.identity import message_id
 from relaymill.operators import messages as M
 from relaymill.schema import PATH_BATCH, PATH_FLOW1, PATH_FLOW2
+from relaymill.sources.requests import spread
 
 REDELIVERY_OFFSET = 1_000_000_000
 
@@ -22,7 +23,7 @@ def _divides(n: int) -> Column:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    return table.select(
+    return spread(table, "event_id").select(
         F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp").alias("clock"),
         F.when(F.col("event_type").isin("purchase", "error"), F.lit(2))
