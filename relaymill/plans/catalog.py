@@ -222,7 +222,9 @@ def _again(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.accepted(_rows(spark, sf_dir).unionByName(_again(spark, sf_dir)))
+    first = fixtures.messages(spark, sf_dir)
+    every = flows.finish(first.unionByName(fixtures.redelivered(first)), None, _clock())
+    return M.accepted(fixtures.clear_numbers(every))
 
 
 def persist_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
