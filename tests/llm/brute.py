@@ -1,0 +1,31 @@
+"""Plain versions of the operators, one text at a time."""
+
+import re
+from collections import Counter
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def quality(text):
+    text = text or ""
+    words = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    count = Counter(windows)
+    covered = set()
+    for i, w in enumerate(windows):
+        if count[w] > 1:
+            covered.update(range(i, i + 5))
+    n, r = len(words), len(covered)
+    return {
+        "n_words": n,
+        "word_chars": sum(map(len, words)),
+        "n_symbols": sum(c in "#*$%&|<>" for c in text),
+        "n_dup_lines": dup,
+        "n_repeat_words": r,
+        "base_failed": n < 10 or 100 * r > 20 * n,
+    }

@@ -1,0 +1,32 @@
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+ODD_TEXTS = [
+    None,
+    "",
+    " \n\t ",
+    "one",
+    "a b c d e f g h i j",
+    "a b c d e f g h i j",
+    "x y z\nx y z\n\n\nx y z\nother line here",
+    "one two three four five " * 3 + "six seven   é ü ß 漢字 😀",
+    "#*$ %&| <> " * 20,
+    "long " * 60_000,
+    "".join(chr(33 + i * 7 % 90) + ("\n" if i % 11 == 0 else " ") for i in range(5000)),
+]
+
+
+@pytest.fixture(scope="session")
+def odd_docs(spark):
+    rows = [
+        (i, t, ("en", "de", None)[i % 3], ("h0", "h1", None)[i % 3], None if t is None else len(t))
+        for i, t in enumerate(ODD_TEXTS)
+    ]
+    rows.append(rows[4])  # a repeated row
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], SCHEMA)
