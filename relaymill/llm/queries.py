@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relaymill.llm.quality_rules import op7_quality_rules
+from relaymill.llm.secret_scan import op5_secret_scan
+from relaymill.llm.sharding import op8_sharding
+from relaymill.llm.tokens import op4_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_bpe": op4_bpe,
+        "op5_secret_scan": op5_secret_scan,
         "op7_quality_rules": op7_quality_rules,
+        "op8_sharding": op8_sharding,
     }
 
 
