@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from relaymill.llm.fingerprints import op10_fingerprints
+from relaymill.llm.packing import op9_packing
 from relaymill.llm.quality_rules import op7_quality_rules
 from relaymill.llm.secret_scan import op5_secret_scan
 from relaymill.llm.sharding import op8_sharding
@@ -18,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op7_quality_rules": op7_quality_rules,
         "op8_sharding": op8_sharding,
+        "op9_packing": op9_packing,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
