@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relaymill.llm.fingerprints import op10_fingerprints
+from relaymill.llm.ngram_jaccard import op1_ngram_jaccard
 from relaymill.llm.packing import op9_packing
 from relaymill.llm.quality_rules import op7_quality_rules
 from relaymill.llm.secret_scan import op5_secret_scan
@@ -16,6 +17,7 @@ from relaymill.llm.tokens import op4_bpe
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op4_bpe": op4_bpe,
         "op5_secret_scan": op5_secret_scan,
         "op7_quality_rules": op7_quality_rules,

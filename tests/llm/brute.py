@@ -29,3 +29,37 @@ def quality(text):
         "n_repeat_words": r,
         "base_failed": n < 10 or 100 * r > 20 * n,
     }
+
+
+def jaccard_components(docs):
+    """{position: (set size, least doc_id of the component)} by comparing all pairs."""
+    sets = []
+    for _, text in docs:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = WORD.findall(low)
+        if len(words) < 4:
+            sets.append({tuple(words)} if words else set())
+        else:
+            sets.append({tuple(words[i : i + 4]) for i in range(len(words) - 3)})
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    for i, s in enumerate(sets):
+        overlap = Counter(j for x in s for j in holders[x] if j < i)
+        for j, n in overlap.items():
+            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (doc_id, _) in enumerate(docs):
+        ids = [x for x in (least.get(find(i)), doc_id) if x is not None]
+        least[find(i)] = min(ids) if ids else None
+    return [(d, len(s), least[find(i)]) for i, ((d, _), s) in enumerate(zip(docs, sets))]
