@@ -50,66 +50,139 @@ class Vocabulary:
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
 
 
+class Remembered:
+    """A bounded dictionary of two generations: what is used again outlives a change."""
+
+    def __init__(self, limit: int, longest: int = 48):
+        self.limit, self.longest = limit // 2, longest
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key: str):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key: str, value) -> None:
+        if len(key) <= self.longest:
+            if len(self.young) >= self.limit:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+
+
 class Encoder:
-    """Encodes texts; remembers the result of every chunk between spaces, up to a limit."""
+    """Encodes texts; remembers words, and normalised chunks between spaces."""
 
-    CHUNKS_KEPT = 400_000
-    CHUNK_LENGTH_KEPT = 64
+    WORDS_KEPT = 800_000
+    CHUNKS_KEPT = 1_200_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.specials = regex.compile(
             "(" + "|".join(regex.escape(s) for s in vocabulary.special) + ")"
         )
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.names = {i: str(i) for i in vocabulary.tokens}
+        self.words = Remembered(self.WORDS_KEPT)
+        self.chunks = Remembered(self.CHUNKS_KEPT)
 
     def encode(self, text: str) -> list[int]:
-        kept, out = self.kept, []
-        # Split at spaces and line ends only; other white space is left to the pattern.
-        for chunk in text.replace("\n", " ").split(" "):
-            ids = kept.get(chunk)
-            if ids is None:
-                ids = self._remember(chunk)
-            out += ids
+        """The ids of a text."""
+        out: list[int] = []
+        for part in self._parts(text):
+            special = self.vocabulary.special.get(part)
+            if special is not None:
+                out.append(special)
+                continue
+            for chunk in self._chunks(part):
+                out += self._ids(chunk)
         return out
 
-    def _remember(self, chunk: str) -> tuple[int, ...]:
+    def spelled(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, the ids in decimal and the decoded text, by remembered chunks."""
+        found: list[tuple[str, str]] = []
+        for part in self._parts(text):
+            special = self.vocabulary.special.get(part)
+            if special is not None:
+                found.append(self._named([special]))
+                continue
+            young = self.chunks.young
+            chunks = self._chunks(part)
+            both = [young.get(chunk) for chunk in chunks]
+            if None in both:
+                both = [b or self._spell(chunk) for b, chunk in zip(both, chunks)]
+            found += both
+        ids = "".join([both[0] for both in found])
+        return ids.count(" "), ids[1:], "".join([both[1] for both in found])[1:]
+
+    def _parts(self, text: str) -> list[str]:
+        """The text, cut at special tokens; these are found before it is normalised."""
+        return self.specials.split(text) if "<|" in text else [text]
+
+    def _chunks(self, part: str) -> list[str]:
+        """Normalised and cut at spaces; other white space is left to the pattern."""
+        part = part.lower() if part.isascii() else self.vocabulary.normal(part)
+        return part.replace("\n", " ").split(" ")
+
+    def _spell(self, chunk: str) -> tuple[str, str]:
+        both = self.chunks.get(chunk)
+        if both is None:
+            both = self._named(self._ids(chunk))
+            self.chunks.put(chunk, both)
+        return both
+
+    def _named(self, ids: list[int]) -> tuple[str, str]:
+        """Ids and tokens, each with a space before it (no token holds a space)."""
+        names, tokens = self.names, self.vocabulary.tokens
+        return "".join([" " + names[i] for i in ids]), "".join([" " + tokens[i] for i in ids])
+
+    def _ids(self, chunk: str) -> list[int]:
+        """Ids of a normalised chunk without spaces."""
+        known = self.words.get(chunk)
+        if known is not None:
+            return known
+        if chunk.isalpha() and max(chunk) < "\u0250":  # one word of the pattern, in Latin letters
+            known = self.word(chunk)
+            self.words.put(chunk, known)
+            return known
+        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+            return self._ids(chunk[:-1]) + self._ids_of_words([chunk[-1]])
+        if chunk.isascii():
+            return self._ids_of_words(self.pattern.findall(chunk))
+        table = {s: b for b, s in enumerate(self.vocabulary.symbols)}
+        words = [bytes(table[c] for c in w).decode() for w, _ in self.vocabulary.split(chunk)]
+        return self._ids_of_words(words)
+
+    def _ids_of_words(self, words: list[str]) -> list[int]:
         ids: list[int] = []
-        for part in self.specials.split(chunk):
-            if part in self.vocabulary.special:
-                ids.append(self.vocabulary.special[part])
-            else:
-                for symbols in self._words(part):
-                    ids += self.word(symbols)
-        if len(chunk) <= self.CHUNK_LENGTH_KEPT:
-            if len(self.kept) >= self.CHUNKS_KEPT:
-                self.kept.clear()
-            self.kept[chunk] = tuple(ids)
-        return tuple(ids)
-
-    def _words(self, part: str) -> list[list[str]]:
-        """The words of the pattern, each as its bytes' symbols."""
-        if part.isascii():
-            table = self.vocabulary.symbols
-            return [[table[b] for b in w.encode()] for w in self.words.findall(part.lower())]
-        return [list(w) for w, _ in self.vocabulary.split(self.vocabulary.normal(part))]
-
-    def word(self, symbols: list[str]) -> list[int]:
-        """Ids of one word."""
+        for word in words:
+            known = self.words.get(word)
+            if known is None:
+                known = self.word(word)
+                self.words.put(word, known)
+            ids += known
+        return ids
+
+    def word(self, word: str) -> list[int]:
+        """Ids of one word of the pattern."""
         vocabulary = self.vocabulary
+        table = vocabulary.symbols
+        symbols = [table[b] for b in word.encode()]
         symbols[-1] += vocabulary.end
         merge = self._merged if len(symbols) < LONG_WORD else self._merged_long
-        return [vocabulary.ids[p] for p in merge(symbols) if p in vocabulary.ids]
+        ids = vocabulary.ids
+        return [ids[p] for p in merge(symbols)]
 
     def _merged(self, symbols: list[str]) -> list[str]:
-        ranks = self.vocabulary.ranks
+        rank_of = self.vocabulary.ranks.get
         text = "".join(symbols)
-        starts = [0]
-        for s in symbols:
-            starts.append(starts[-1] + len(s))
+        starts = list(range(len(symbols)))
+        starts.append(len(text))
         # rank[i]: of merging part i with part i + 1; the last part has no next one
-        rank = [ranks.get(pair, NO_RANK) for pair in zip(symbols, symbols[1:])]
+        rank = [rank_of(pair, NO_RANK) for pair in zip(symbols, symbols[1:])]
         while rank:
             least = min(rank)
             if least == NO_RANK:
@@ -117,11 +190,12 @@ class Encoder:
             i = rank.index(least)
             del starts[i + 1]
             del rank[i]
-            part = text[starts[i] : starts[i + 1]]
+            begin, end = starts[i], starts[i + 1]
+            part = text[begin:end]
             if i < len(rank):
-                rank[i] = ranks.get((part, text[starts[i + 1] : starts[i + 2]]), NO_RANK)
+                rank[i] = rank_of((part, text[end : starts[i + 2]]), NO_RANK)
             if i:
-                rank[i - 1] = ranks.get((text[starts[i - 1] : starts[i]], part), NO_RANK)
+                rank[i - 1] = rank_of((text[starts[i - 1] : begin], part), NO_RANK)
         return [text[a:b] for a, b in zip(starts, starts[1:])]
 
     def _merged_long(self, symbols: list[str]) -> list[str]:

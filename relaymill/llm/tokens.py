@@ -1,8 +1,8 @@
 """Byte-pair encoding of a documents table (operator 4).
 
 The table is encoded where it lies: no shuffle, one pass. Every task reads the vocabulary
-file, whose path is a parameter and must be readable on every executor, and keeps the ids of
-the chunks it has met, up to a bounded number.
+file, whose path is a parameter and must be readable on every executor; the Python worker
+keeps it, and the ids of words it has met, up to a bounded number.
 
 Defined cases: a null text is encoded as an empty one, with no ids; equal texts get equal
 ids; an empty table gives an empty result; clashing columns of the input are replaced.
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from relaymill.llm import bpe
+from relaymill.llm import bpe, per_process
 from relaymill.llm.tables import table
 
 
@@ -27,6 +27,10 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _encoder(path: str) -> bpe.Encoder:
+    return per_process.kept(f"bpe:{path}", lambda: bpe.Encoder(bpe.Vocabulary(path)))
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """The documents with their `ids`."""
     names = [c for c in docs.columns if c != "ids"]
@@ -35,7 +39,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.Encoder(bpe.Vocabulary(path))
+        encoder = _encoder(path)
         for batch in batches:
             ids = [encoder.encode(t.as_py() or "") for t in batch.column("text")]
             columns = [*(batch.column(n) for n in names), pa.array(ids, pa.list_(pa.int32()))]
@@ -50,7 +54,7 @@ def decoded(docs: DataFrame, path: str) -> DataFrame:
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("decoded", T.StringType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = bpe.Vocabulary(path)
+        vocabulary = _encoder(path).vocabulary
         for batch in batches:
             texts = [bpe.decode(vocabulary, i.as_py() or []) for i in batch.column("ids")]
             columns = [*(batch.column(n) for n in names), pa.array(texts, pa.string())]
@@ -66,17 +70,14 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = bpe.Vocabulary(path)
-        encoder = bpe.Encoder(vocabulary)
-        names = {i: str(i) for i in vocabulary.tokens}
+        encoder = _encoder(path)
         for batch in batches:
             counts, id_digests, text_digests = [], [], []
             for text in batch.column("text"):
-                ids = encoder.encode(text.as_py() or "")
-                counts.append(len(ids))
-                listed = " ".join([names[i] for i in ids])
+                count, listed, decoded = encoder.spelled(text.as_py() or "")
+                counts.append(count)
                 id_digests.append(hashlib.sha256(listed.encode()).hexdigest())
-                text_digests.append(hashlib.sha256(bpe.decode(vocabulary, ids).encode()).hexdigest())
+                text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
