@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relaymill.llm.fingerprints import op10_fingerprints
+from relaymill.llm.language_id import op6_language_id
 from relaymill.llm.ngram_jaccard import op1_ngram_jaccard
 from relaymill.llm.packing import op9_packing
 from relaymill.llm.quality_rules import op7_quality_rules
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op4_bpe": op4_bpe,
         "op5_secret_scan": op5_secret_scan,
+        "op6_language_id": op6_language_id,
         "op7_quality_rules": op7_quality_rules,
         "op8_sharding": op8_sharding,
         "op9_packing": op9_packing,

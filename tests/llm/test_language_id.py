@@ -1,0 +1,62 @@
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from relaymill.llm import gated_net as G
+from relaymill.llm import language_id as L
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_gradients_equal_differences():
+    draw = np.random.default_rng(2)
+    p = G.new_parameters(3)
+    data = draw.integers(97, 102, (6, 5)).astype(np.uint8)
+    target = draw.integers(0, 3, 5)
+    counts = np.ones((6, 5), dtype=np.float32)
+    counts[4:, 0] = 0
+    _, grad = G.gradients(p, data, target, counts)
+    for name, value in p.items():
+        for _ in range(6):
+            at = tuple(draw.integers(0, s) for s in value.shape)
+            if name.startswith("in"):
+                at = (at[0], int(draw.integers(97, 102)))
+            losses = []
+            for step in (1e-2, -1e-2):
+                moved = {k: v.copy() for k, v in p.items()}
+                moved[name][at] += step
+                losses.append(G.gradients(moved, data, target, counts)[0])
+            assert (losses[0] - losses[1]) / 2e-2 == pytest.approx(grad[name][at], abs=2e-3)
+
+
+def test_whole_texts_are_pooled_by_position():
+    p = G.new_parameters(3)
+    texts = [b"abc" * 100, b"", b"x", bytes(range(256))]
+    alone = np.concatenate([G.pooled(p, [t]) for t in texts])
+    assert np.allclose(G.pooled(p, texts, group=3), alone, atol=1e-5)
+    assert np.allclose(alone.sum(axis=1), [1, 0, 1, 1], atol=1e-4)
+
+
+def test_query_labels_held_out_documents(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = L.op6_language_id(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1
+    tested = [r for r in rows if r.held_out and any(c.isalpha() for c in docs[r.doc_id].text or "")]
+    right = sum(r.lang_pred == docs[r.doc_id].lang for r in tested)
+    assert right >= 0.97 * len(tested) > 0
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    model = L.fitted(spark.read.parquet(f"{SF}/documents.parquet"), 40)
+    rows = L.labelled(odd_docs.withColumn("score", F.lit("x")), model).collect()
+    assert len(rows) == odd_docs.count()
+    for r in rows:
+        letters = any(c.isalpha() for c in r.text or "")
+        assert (r.lang_pred != "und") == letters and (letters or r.score == 0)
+    assert L.fitted(no_docs) is None
+    assert {r.lang_pred for r in L.labelled(odd_docs, None).collect()} == {"und"}
+    assert L.labelled(no_docs, model).count() == 0
