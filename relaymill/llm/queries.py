@@ -10,6 +10,7 @@ from relaymill.llm.fingerprints import op10_fingerprints
 from relaymill.llm.language_id import op6_language_id
 from relaymill.llm.ngram_jaccard import op1_ngram_jaccard
 from relaymill.llm.packing import op9_packing
+from relaymill.llm.quality_classifier import op3_quality_classifier
 from relaymill.llm.quality_rules import op7_quality_rules
 from relaymill.llm.secret_scan import op5_secret_scan
 from relaymill.llm.sharding import op8_sharding
@@ -19,6 +20,7 @@ from relaymill.llm.tokens import op4_bpe
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_bpe": op4_bpe,
         "op5_secret_scan": op5_secret_scan,
         "op6_language_id": op6_language_id,

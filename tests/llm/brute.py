@@ -1,5 +1,6 @@
 """Plain versions of the operators, one text at a time."""
 
+import math
 import re
 from collections import Counter
 
@@ -63,3 +64,42 @@ def jaccard_components(docs):
         ids = [x for x in (least.get(find(i)), doc_id) if x is not None]
         least[find(i)] = min(ids) if ids else None
     return [(d, len(s), least[find(i)]) for i, ((d, _), s) in enumerate(zip(docs, sets))]
+
+
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney by dictionaries, from the textbook formulas."""
+
+    def __init__(self, texts, order=5):
+        self.order = order
+        grams = Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))
+        self.counts = {order: grams}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.cut, self.history = {}, {}
+        for k, grams in self.counts.items():
+            n = Counter(grams.values())
+            if n[1] and n[2] and n[3]:
+                y = n[1] / (n[1] + 2 * n[2])
+                cut = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
+                cut = [min(max(d, 0.05), i + 0.95) for i, d in enumerate(cut)]
+            else:
+                cut = [0.5, 0.75, 0.9]
+            self.cut[k] = [0, *cut]
+            table = self.history[k] = {}
+            for g, c in grams.items():
+                total, freed = table.get(g[:-1], (0, 0.0))
+                table[g[:-1]] = (total + c, freed + self.cut[k][min(c, 3)])
+
+    def p(self, gram):
+        if not gram:
+            return 1 / 256
+        k, lower = len(gram), self.p(gram[1:])
+        total, freed = self.history[k].get(gram[:-1], (0, 0))
+        if not total:
+            return lower
+        c = self.counts[k].get(gram, 0)
+        return (c - self.cut[k][min(c, 3)]) / total + freed / total * lower
+
+    def log_perplexity(self, text):
+        logs = [math.log(self.p(text[i : i + self.order])) for i in range(len(text) - self.order + 1)]
+        return -sum(logs) / len(logs) if logs else None
