@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from relaymill.llm.fingerprints import op10_fingerprints
 from relaymill.llm.language_id import op6_language_id
+from relaymill.llm.licence_scan import op2_licence_scan
 from relaymill.llm.ngram_jaccard import op1_ngram_jaccard
 from relaymill.llm.packing import op9_packing
 from relaymill.llm.quality_classifier import op3_quality_classifier
@@ -20,6 +21,7 @@ from relaymill.llm.tokens import op4_bpe
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_licence_scan": op2_licence_scan,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_bpe": op4_bpe,
         "op5_secret_scan": op5_secret_scan,

@@ -1,0 +1,59 @@
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from relaymill.llm import licence_scan as L
+from relaymill.llm.licence_texts import TEMPLATES
+
+SF = "/root/testdata/sf0.01"
+
+
+def grams(text):
+    lines = [l for l in text.lower().split("\n") if not re.match(r"[^a-z0-9]*(copyright|©|\(c\))\b.{0,160}$", l)]
+    words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", "\n".join(lines))
+    return Counter(zip(words, words[1:]))
+
+
+def dice(a, b):
+    return 2 * (a & b).total() / (a.total() + b.total()) if a or b else 0.0
+
+
+KNOWN = [(name, grams(" ".join(text.split()))) for name, text in TEMPLATES]
+
+
+def plain_best(text):
+    """Best Dice of any line or of the whole text, without any pruning."""
+    units = [text, *text.split("\n")]
+    return max((dice(grams(u), g) for u in units for _, g in KNOWN), default=0.0)
+
+
+def test_query_finds_what_brute_force_finds(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in L.op2_licence_scan(spark, SF).collect()}
+    assert sorted(rows) == sorted(texts)
+    for doc_id, row in rows.items():
+        licensed = "icense" in texts[doc_id]
+        if doc_id % 5 == 0 or licensed:
+            expected = plain_best(texts[doc_id])
+            assert (row.dice or 0) >= expected - 1e-9 if expected >= 0.85 else row.dice is None or row.dice >= 0.85
+        assert (row.licence is not None) == licensed
+
+
+def test_every_template_is_found_alone_wrapped_and_embedded(spark):
+    rows = []
+    for k, (name, text) in enumerate(TEMPLATES):
+        rows.append((k, text))
+        rows.append((100 + k, "Copyright (c) 2020 Someone Else\n\n" + re.sub(r"\s+", " ", text).upper()))
+        lines = "Some prose about nothing in particular goes here.\n" * 5
+        rows.append((200 + k, lines + "# " + text.replace("\n", "\n# ") + "\n" + lines))
+    found = {r.doc_id: r for r in L.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (name, _) in enumerate(TEMPLATES):
+        for shift in (0, 100, 200):
+            assert found[shift + k].licence == name and found[shift + k].dice > 0.95, (shift, name)
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    out = L.scanned(odd_docs.withColumn("dice", F.lit("x"))).collect()
+    assert len(out) == odd_docs.count() and all(r.licence is None and r.matches == [] for r in out)
+    assert L.scanned(no_docs).count() == 0
