@@ -239,17 +239,20 @@ def _sets_of(docs: DataFrame, classes, marks) -> DataFrame:
     return docs.select("text").mapInArrow(make, "node long, codes binary").dropDuplicates(["node"])
 
 
-def _links(groups: DataFrame, sets: DataFrame, task_shingles: int) -> DataFrame:
+def _with_blocks(groups: DataFrame, nodes: DataFrame, task_shingles: int) -> DataFrame:
+    """(node, root, blocks, size): into how many blocks each candidate component is cut."""
+    rows = groups.join(nodes.select("node", F.col("n_shingles").alias("size")), "node")
+    blocks = F.ceil(F.sum("size") / F.lit(task_shingles)).cast("int")
+    return rows.join(rows.groupBy("root").agg(blocks.alias("blocks")), "root")
+
+
+def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root, whole) for the linked sets of every candidate component.
 
     `whole` says that the component was joined in one task, so that the root is final. A
     larger one is cut into blocks by a hash, and each set goes to all pairs of its block.
     """
-    rows = groups.join(sets, "node").withColumn("size", F.expr("length(codes) div 8"))
-    weight = groups.join(sets.select("node", F.expr("length(codes) div 8").alias("size")), "node")
-    weight = weight.groupBy("root").agg(F.sum("size").alias("weight"))
-    blocks = F.ceil(F.col("weight") / F.lit(task_shingles)).cast("int")
-    rows = rows.join(weight.select("root", blocks.alias("blocks")), "root")
+    rows = sets.join(groups, "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
@@ -298,8 +301,8 @@ def joined(docs: DataFrame, longest_list: int = LONGEST_LIST, task_shingles: int
     pairs = _not_ruled_out(ties.where("not tied").select("u", "v"), nodes)
     groups = components(pairs.unionByName(ties.where("tied").select("u", "v")))
     marks = context.broadcast(_marks(groups.select("node")))  # MARKS bits
-    sets = materialised(_sets_of(docs, classes, marks).join(groups.select("node"), "node", "left_semi"), "members")
-    links = materialised(_links(groups, sets, task_shingles), "links")
+    groups = materialised(_with_blocks(groups, described.dropDuplicates(["node"]), task_shingles), "groups")
+    links = materialised(_links(groups, _sets_of(docs, classes, marks)), "links")
     roots = links.where("whole").select("node", "root")
     parts = links.where("not whole").select(F.col("node").alias("u"), F.col("root").alias("v"))
     if not parts.isEmpty():
