@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relaymill.functions import audit
 
+# --- Fixed values: the columns that each inspection query shows -------------------------
 SUMMARY = (
     "id",
     "flow_id",
@@ -24,11 +25,18 @@ _DETAIL = {
     1: ("message_id", "initial_data", "counter_value"),
     2: ("message_id", "initial_data", "metric_value", "examined_status", "verified_by"),
 }
+# --------------------------------------------------------------------------------------
 
 
 def latest(rows: DataFrame, n: int = 10, columns: tuple[str, ...] = SUMMARY) -> DataFrame:
     """The n newest rows, newest first. Each task keeps n rows; nothing is fully sorted."""
-    return rows.select(*columns).orderBy(F.col("id").desc()).limit(n)
+    return _newest(rows, n, columns)
+
+
+def _newest(rows: DataFrame, n: int, columns: tuple[str, ...]) -> DataFrame:
+    place = [c for c in ("id", "position", "flow_id") if c in rows.columns]
+    wanted = rows.select(*columns, *(c for c in place if c not in columns))
+    return wanted.orderBy(*(F.col(c).desc() for c in place)).limit(n).select(*columns)
 
 
 def detail(rows: DataFrame, flow: int) -> DataFrame:
@@ -41,8 +49,8 @@ def detail(rows: DataFrame, flow: int) -> DataFrame:
 def latest_of_flow(rows: DataFrame, flow: int) -> DataFrame:
     """Detail of the newest row of a flow. The trail is rendered for that row only."""
     columns = ("id", "flow_id", *_DETAIL[flow], "history_trail")
-    newest = rows.where(F.col("flow_id") == flow).select(*columns)
-    return detail(newest.orderBy(F.col("id").desc()).limit(1), flow)
+    newest = rows.where(F.col("flow_id") == flow)
+    return detail(_newest(newest, 1, columns), flow)
 
 
 def by_message(rows: DataFrame, message_id: str | Column) -> DataFrame:

@@ -17,6 +17,14 @@ _FLAGS = (
     "completed",
 )
 _KNOWN = (*STORED_KEYS, *UNSTORED_FLAGS)
+# Numbers that are not finite are written as these bare words, which are not JSON. The key
+# and the column that takes such a number when it is read.
+_NOT_FINITE = {
+    key: (rf'(?<!\\)("{key}"\s*:\s*)(-?Infinity|NaN)(?=\s*[,}}])', column)
+    for key, column in (("value", "value"), ("counter", "counter_real"))
+}
+# A text of more characters is beyond the parser (its own limit), as is one nested deeper than 1,000.
+LONGEST_DOCUMENT = 20_000_000
 
 
 def with_missing_columns(messages: DataFrame) -> DataFrame:
@@ -70,23 +78,42 @@ def decode(records: DataFrame, stage: int) -> DataFrame:
     """Queue records (seq, clock, body, ...) as messages for the handler of ``stage``.
 
     A document that is not a JSON object is marked as rejected here. The document itself
-    stays in ``body`` for the reject output.
+    stays in ``body`` for the reject output. A metric or counter of NaN or Infinity, which
+    a stage before may have written, is read back as that number.
     """
-    parsed = J.with_json(records, "body", "verbatim")
+    if "position" not in records.columns:
+        records = records.withColumn("position", F.lit(0).cast("bigint"))
+    json, numbers = F.col("body"), {}
+    for pattern, column in _NOT_FINITE.values():
+        odd = F.col("body").rlike(pattern)
+        json = F.when(odd, F.regexp_replace(json, pattern, "$1null")).otherwise(json)
+        numbers[column] = F.when(odd, F.regexp_extract("body", pattern, 2).try_cast("double"))
+    # one test for the rare case keeps the others cheap
+    rare = F.col("body").contains("Infinity") | F.col("body").contains("NaN")
+    records = records.withColumns(
+        {"_json": F.when(rare, json).otherwise(F.col("body"))}
+        | {column: F.when(rare, number) for column, number in numbers.items()}
+    )
+    parsed = J.with_json(records, "_json", "verbatim")
     document = F.col("verbatim")
     opened = parsed.withColumns(
         {f"read_{key}": J.field(document, key) for key in _KNOWN}
         | {
-            "past": audit.past_text(F.col("body"), J.field(document, "history")),
-            "keys": F.json_object_keys("body"),
+            f"read_{key}": F.when(F.col(column).isNull(), J.field(document, key))
+            for key, (_, column) in _NOT_FINITE.items()
         }
-    )
+        | {
+            "past": audit.past_text(F.col("_json"), J.field(document, "history")),
+            "keys": F.json_object_keys("_json"),
+        }
+    ).drop("_json")
     started = opened.withColumn(
         "history", F.when(F.col("past").isNotNull(), F.array().cast(HISTORY))
     )
     return reject(
         with_missing_columns(started),
         stage,
+        (document.isNull() & (F.octet_length("body") > LONGEST_DOCUMENT), "document_too_large"),
         (document.isNull(), "not_json"),
         (~J.is_object_text(F.col("body")), "not_an_object"),
     )
@@ -153,5 +180,5 @@ def encode(messages: DataFrame) -> DataFrame:
     if "body" in messages.columns:
         document = F.when(F.col("reject_reason").isNull(), document).otherwise(F.col("body"))
     return with_document(messages, "_document").select(
-        "seq", "clock", document.alias("body"), "reject_stage", "reject_reason"
+        "seq", "position", "clock", document.alias("body"), "reject_stage", "reject_reason"
     )

@@ -21,6 +21,9 @@ _SOURCES = {
     "verified_by": "verified_by",
 }
 _REQUIRED = ("message_id", "flow", "item_id")
+# Fixed value: what the table's number columns take as text. A plain cast would also take
+# suffixes and hexadecimal forms.
+_DECIMAL_TEXT = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
 
 def _text(key: str) -> Column:
@@ -38,8 +41,9 @@ def _number(key: str) -> Column:
     """DOUBLE of a number or numeric text, NULL otherwise."""
     read = F.col(f"read_{key}")
     kind = J.kind(read)
+    text = F.trim(F.try_variant_get(read, "$", "string"))
     return F.when(
-        kind == "STRING", F.trim(F.try_variant_get(read, "$", "string")).try_cast("double")
+        kind == "STRING", F.when(text.rlike(_DECIMAL_TEXT), text.try_cast("double"))
     ).when(J.is_number(kind), J.as_double(read))
 
 
@@ -96,6 +100,7 @@ def to_rows(messages: DataFrame, created_at: Column | None = None) -> DataFrame:
     kept_aside = ["body"] if "body" in messages.columns else []
     return checked.select(
         "seq",
+        F.coalesce("position", F.lit(0).cast("bigint")).alias("position"),
         *columns,
         F.col("history").alias("history_trail"),
         "raw_payload",
@@ -106,49 +111,77 @@ def to_rows(messages: DataFrame, created_at: Column | None = None) -> DataFrame:
     )
 
 
+def arrival(rows: DataFrame) -> Column:
+    """The place of a delivery in the order of arrival, as a struct that compares.
+
+    First the place of the request it comes from; then, where the same message is delivered
+    again under the same place, the batch in which it reached the sink (``batch_id``, where
+    the rows carry it); at last its content, so that the result never depends on the order
+    of rows.
+    """
+    def given(name: str) -> Column:
+        found = F.col(name) if name in rows.columns else F.lit(None)
+        return F.coalesce(found.cast("bigint"), F.lit(0).cast("bigint")).alias(name)
+
+    content = [c for c in (*KEPT, *OVERWRITTEN) if c in rows.columns]
+    return F.struct("seq", given("position"), given("batch_id"), F.xxhash64(*content).alias("content"))
+
+
 def upsert_state(rows: DataFrame, collation: str | None = None) -> DataFrame:
     """Per message id: the first delivery's kept columns and the last one's others.
 
-    Deliveries are ordered by ``seq``, which must be unique per delivery. NULLs of the
-    last delivery overwrite, hence whole structs rather than single columns. The partial
-    aggregation before the shuffle leaves at most one row per id and task, so an id with
-    very many deliveries costs no more than any other. Only columns present in ``rows``
-    take part: select fewer of them to move less.
+    Deliveries are ordered by ``arrival``. NULLs of the last delivery overwrite, hence whole
+    structs rather than single columns. The partial aggregation before the shuffle leaves at
+    most one row per id and task, so an id with very many deliveries costs no more than any
+    other. Only columns present in ``rows`` take part: select fewer of them to move less.
 
     ``collation`` compares ids under that collation instead of byte by byte.
     """
     kept = [c for c in KEPT if c in rows.columns]
     overwritten = [c for c in OVERWRITTEN if c in rows.columns]
-    key = F.col("message_id") if collation is None else F.collate("message_id", collation)
-    return rows.groupBy(key.alias("_key")).agg(
-        F.min_by(F.struct("seq", "message_id", *kept), "seq").alias("first"),
-        F.max_by(F.struct("seq", *overwritten), "seq").alias("last"),
+    placed = rows.withColumn("at", arrival(rows))
+    return placed.groupBy(_key(collation).alias("_key")).agg(
+        F.min_by(F.struct("at", "message_id", *kept), "at").alias("first"),
+        F.max_by(F.struct("at", *overwritten), "at").alias("last"),
     )
 
 
+def _key(collation: str | None) -> Column:
+    return F.col("message_id") if collation is None else F.collate("message_id", collation)
+
+
 def merge_states(states: DataFrame) -> DataFrame:
     """Combine upsert states of the same keys, e.g. a stored snapshot and new deliveries."""
     return states.groupBy("_key").agg(
-        F.min_by("first", F.col("first.seq")).alias("first"),
-        F.max_by("last", F.col("last.seq")).alias("last"),
+        F.min_by("first", F.col("first.at")).alias("first"),
+        F.max_by("last", F.col("last.at")).alias("last"),
     )
 
 
-def table_rows(states: DataFrame, with_last_seq: bool = False) -> DataFrame:
-    """Rows of the result table; ``id`` is the arrival number of the first delivery.
+def table_rows(states: DataFrame, with_places: bool = False) -> DataFrame:
+    """Rows of the result table; ``id`` and ``position`` are the place of the first delivery.
 
-    ``last_seq``, the number of the last one, is what a later merge needs.
+    ``first_at`` and ``last_at``, the places of both deliveries, are what a later merge needs.
     """
-    first = [c for c in states.schema["first"].dataType.names if c != "seq"]
-    last = [c for c in states.schema["last"].dataType.names if c != "seq"]
-    cells = {"id": F.col("first.seq")}
+    first = [c for c in states.schema["first"].dataType.names if c != "at"]
+    last = [c for c in states.schema["last"].dataType.names if c != "at"]
+    cells = {"id": F.col("first.at.seq"), "position": F.col("first.at.position")}
     cells |= {c: F.col(f"first.{c}") for c in first} | {c: F.col(f"last.{c}") for c in last}
     columns = [cells[name].alias(name) for name in PROCESSED.names if name in cells]
-    if with_last_seq:
-        columns.append(F.col("last.seq").alias("last_seq"))
+    if with_places:
+        columns += [F.col("first.at").alias("first_at"), F.col("last.at").alias("last_at")]
     return states.select(*columns)
 
 
+def states_of(rows: DataFrame, collation: str | None = None) -> DataFrame:
+    """Table rows with their places as upsert states, for merging with new deliveries."""
+    return rows.select(
+        _key(collation).alias("_key"),
+        F.struct(F.col("first_at").alias("at"), "message_id", *KEPT).alias("first"),
+        F.struct(F.col("last_at").alias("at"), *OVERWRITTEN).alias("last"),
+    )
+
+
 def upsert(rows: DataFrame, collation: str | None = None) -> DataFrame:
     """Result table of accepted deliveries."""
     return table_rows(upsert_state(rows, collation))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +12,10 @@ from pyspark.sql import functions as F
 from relaymill.functions import audit
 from relaymill.operators import ingest, inspect, messages as M, persist
 from relaymill.plans import fixtures, flows
-from relaymill.schema import HANDLERS, LAST_STAGE, ROUTES, next_queue
+from relaymill.schema import AUDIT_KEYS, HANDLERS, LAST_STAGE, ROUTES, next_queue
 from relaymill.session import configure, work_dir
 from relaymill.sources import queues, table as T
+from relaymill.sources.requests import stream_requests
 from relaymill.streaming import flow as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +64,19 @@ def ingest_flow2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ingest.batch_messages(fixtures.batch_requests(spark, sf_dir))
     return made.select(
-        "seq", "flow", "message_id", "item_id", "initial_data", "counter", "value"
+        "seq", "position", "flow", "message_id", "item_id", "initial_data", "counter", "value"
+    )
+
+
+def batch_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches beyond one range of numbers, and arrival numbers beyond 40 bits: how many
+    messages each makes, and from which item to which."""
+    made = ingest.batch_messages(fixtures.large_batches(spark, sf_dir))
+    return made.groupBy("seq", "flow").agg(
+        F.count(F.lit(1)).alias("messages"),
+        F.min("position").alias("first"),
+        F.max("position").alias("last"),
+        F.sum("item_id").alias("items"),
     )
 
 
@@ -72,18 +87,19 @@ def batch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single and batch requests in one stream, as documents for the first queues."""
-    single = fixtures.requests(spark, sf_dir)
-    batch = fixtures.batch_requests(spark, sf_dir).where(F.col("seq") % 2 == 1)
-    mixed = single.where(F.col("seq") % 2 == 0).unionByName(batch)
-    made = M.with_document(ingest.ingest(mixed), "body")
+    """All single and batch requests in one stream, as documents for the first queues."""
+    made = M.with_document(ingest.ingest(fixtures.all_requests(spark, sf_dir)), "body")
     document = F.try_parse_json("body")
     return made.select(
         "seq",
+        "position",
         "flow",
         F.try_variant_get(document, "$.message_id", "string").alias("message_id"),
         F.try_variant_get(document, "$.item_id", "bigint").alias("item_id"),
         F.try_variant_get(document, "$.initial_data", "string").alias("initial_data"),
+        F.try_variant_get(document, "$.counter", "bigint").alias("counter"),
+        F.try_variant_get(document, "$.value", "double").alias("value"),
+        F.get_json_object("body", "$.history").alias("history"),
     )
 
 
@@ -91,23 +107,28 @@ def ingest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queue each message is taken from and put into, per stage."""
-    hops = F.array(
-        *[
-            F.struct(
-                F.lit(flow).alias("flow"),
-                F.lit(stage).alias("stage"),
-                F.lit(queue).alias("consumed_from"),
-                F.lit(next_queue(queue)).cast("string").alias("forwarded_to"),
-            )
-            for queue, (flow, stage) in HANDLERS.items()
-        ]
-    )
+    """The way of every message through the queue folders: written, read and handed on."""
+    root = _run_root(spark, "routing")
     made = ingest.direct_messages(fixtures.requests(spark, sf_dir))
-    own = F.filter(hops, lambda h: h["flow"] == F.col("flow"))
-    return made.select("seq", "message_id", F.explode(own).alias("h")).select(
-        "seq", "message_id", "h.flow", "h.stage", "h.consumed_from", "h.forwarded_to"
-    )
+    hops = []
+    for flow, route in ROUTES.items():
+        waiting = M.encode(made.where(F.col("flow") == flow))
+        for queue in route:
+            queues.publish(waiting, root, queue)
+            taken = queues.consume(spark, root, queue)
+            hops.append(
+                taken.select(
+                    "seq",
+                    F.get_json_object("body", "$.message_id").alias("message_id"),
+                    F.lit(flow).alias("flow"),
+                    F.lit(HANDLERS[queue][1]).alias("stage"),
+                    F.lit(queue).alias("consumed_from"),
+                    F.lit(next_queue(queue)).cast("string").alias("forwarded_to"),
+                )
+            )
+            if next_queue(queue):
+                waiting = flows.forward(taken, queue, _clock())
+    return reduce(DataFrame.unionByName, hops)
 
 
 def flow1_reflect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +159,7 @@ def flow2_examine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flow1_acknowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     hop = flows.forward(fixtures.records(spark, sf_dir, 1), ROUTES[1][0], _clock())
-    done = flows.handle(M.accepted(hop).select("seq", "clock", "body"), ROUTES[1][1], _clock())
+    done = flows.handle(M.accepted(hop).select("seq", "position", "clock", "body"), ROUTES[1][1], _clock())
     return audit.with_full_trail(M.accepted(done)).select(
         "seq",
         _read("message_id", "string"),
@@ -150,7 +171,7 @@ def flow1_acknowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flow2_seal(spark: SparkSession, sf_dir: str) -> DataFrame:
     hop = flows.forward(fixtures.records(spark, sf_dir, 2), ROUTES[2][0], _clock())
-    done = flows.handle(M.accepted(hop).select("seq", "clock", "body"), ROUTES[2][1], _clock())
+    done = flows.handle(M.accepted(hop).select("seq", "position", "clock", "body"), ROUTES[2][1], _clock())
     return audit.with_full_trail(M.accepted(done)).select(
         "seq",
         _read("message_id", "string"),
@@ -168,7 +189,7 @@ def _both_faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
         flows.finish_records(fixtures.faulty_records(spark, sf_dir, flow), ROUTES[flow][0], _clock())
         for flow in ROUTES
     ]
-    return done[0].unionByName(done[1])
+    return reduce(DataFrame.unionByName, done)
 
 
 def extra_fields_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,17 +285,62 @@ _TABLE = (
 )
 
 
-def _shown(rows: DataFrame) -> DataFrame:
-    return rows.select(*_TABLE, _trail("history_trail"), _wall())
+def _shown(rows: DataFrame, *more: str) -> DataFrame:
+    """Table cells, and what the stored document says itself: its number, its flag, its
+    number of audit entries."""
+    document = F.try_parse_json("raw_payload")
+
+    def read(key: str, kind: str) -> Column:
+        return F.try_variant_get(document, f"$.{key}", kind)
+
+    return rows.select(
+        *_TABLE,
+        *more,
+        _trail("history_trail"),
+        _wall(),
+        F.coalesce(read("counter", "double"), read("value", "double")).alias("payload_number"),
+        F.coalesce(read("process3_acknowledged", "boolean"), read("completed", "boolean")).alias("payload_flag"),
+        F.json_array_length(F.get_json_object("raw_payload", "$.history")).alias("payload_steps"),
+    )
 
 
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(persist.upsert(_deliveries(spark, sf_dir).drop("raw_payload")))
+    return _shown(persist.upsert(_deliveries(spark, sf_dir)))
+
+
+def redelivered_same_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries that arrive again, changed, under the place they had: the later wins."""
+    root = _run_root(spark, "again")
+    table = T.ProcessedTable(spark, root)
+    table.deliver(_rows(spark, sf_dir), "queue", 0)
+    again = _again(spark, sf_dir).withColumn("seq", F.col("seq") - fixtures.REDELIVERY_OFFSET)
+    table.deliver(again.repartition(3, "item_id"), "queue", 1)
+    return _shown(table.current())
+
+
+def table_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot of the first deliveries with the second ones on top."""
+    table = T.ProcessedTable(spark, _run_root(spark, "current"))
+    table.deliver(_rows(spark, sf_dir), "first", 0)
+    table.compact()
+    table.deliver(_again(spark, sf_dir), "again", 0)
+    return _shown(table.current())
+
+
+def table_recompacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after a second snapshot, once older versions and their log are retired."""
+    table = T.ProcessedTable(spark, _run_root(spark, "recompacted"))
+    table.deliver(_rows(spark, sf_dir), "first", 0)
+    table.compact()
+    table.deliver(_again(spark, sf_dir), "again", 0)
+    table.compact()
+    table.retire(versions=1)
+    return _shown(table.scan())
 
 
 def _end_to_end(spark: SparkSession, sf_dir: str, flow: int) -> DataFrame:
     made = ingest.direct_messages(fixtures.requests(spark, sf_dir), flows=(flow,))
-    rows = flows.finish(made, flow, _clock()).drop("raw_payload")
+    rows = flows.finish(made, flow, _clock())
     return _shown(persist.upsert(M.accepted(rows)))
 
 
@@ -327,20 +393,17 @@ def latest_flow2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reparsed(details: DataFrame) -> DataFrame:
-    """Indented trails read back, so that they compare by content and not by layout."""
-    trail = F.try_parse_json("audit_trail")
-    last = F.try_variant_get(trail, "$[3].timestamp", "string")
-    stages = [F.try_variant_get(trail, f"$[{i}].stage", "string") for i in range(4)]
-    return details.withColumns(
-        {"stages": F.concat_ws(",", *stages), "saved_at": last}
-    ).drop("audit_trail")
+    """Indented trails read back with all keys, so that they compare by content."""
+    keys = ", ".join(f"{key}: string" for key in AUDIT_KEYS)
+    entries = F.from_json("audit_trail", f"array<struct<{keys}>>")
+    return details.withColumn("audit_trail", F.to_json(entries))
 
 
 def lookup_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The message whose id is the smallest of the table."""
-    rows = _scan(spark, sf_dir)
-    wanted = rows.select(F.min("message_id").alias("message_id"))  # one row
-    return _shown(rows.join(F.broadcast(wanted), "message_id", "left_semi"))
+    """The message that event 41 became, by its id."""
+    digest = hashlib.md5(b"msg-41").hexdigest()
+    wanted = "-".join((digest[:8], digest[8:12], digest[12:16], digest[16:20], digest[20:]))
+    return _shown(inspect.by_message(_scan(spark, sf_dir), wanted))
 
 
 def lookup_flow_item(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,6 +469,34 @@ def stream_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(done.current())
 
 
+def stream_ingest_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests as files, judged once, through six handlers into the table."""
+    root = _run_root(spark, "requests")
+    files = max(2, spark.sparkContext.defaultParallelism // 2)
+    every = fixtures.all_requests(spark, sf_dir).repartition(2 * files, "seq")
+    every.write.parquet(f"{root}/requests")
+    arriving = stream_requests(spark, f"{root}/requests", max_files=files)
+    streaming.start_ingest(arriving, root).awaitTermination()
+    done = streaming.drain(spark, root, _clock())
+    return _shown(done.current(), "position")
+
+
+def stream_json_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow 1's documents in JSON files through a streaming handler into JSON files."""
+    root = _run_root(spark, "json")
+    first, second = ROUTES[1][:2]
+    queues.publish(fixtures.records(spark, sf_dir, 1), root, first, "json")
+    streaming.start_hop(spark, root, first, _clock(), format="json").awaitTermination()
+    taken = queues.consume(spark, root, second, "json")
+    return taken.select(
+        "seq",
+        F.get_json_object("body", "$.message_id").alias("message_id"),
+        F.get_json_object("body", "$.counter").cast("bigint").alias("counter"),
+        F.get_json_object("body", "$.history").alias("history"),
+        F.col("clock").cast("timestamp_ntz").alias("clock"),
+    )
+
+
 def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faulty documents through the streaming handlers: what each of them set aside."""
     root = _run_root(spark, "faults")
@@ -438,7 +529,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _delivered() -> list[str]:
-    return [n for n in T.PROCESSED.names if n not in ("id", "raw_payload")]
+    return [n for n in T.PROCESSED.names if n != "id"]
 
 
 QUERIES: dict[str, Query] = {
@@ -449,6 +540,7 @@ QUERIES: dict[str, Query] = {
         ingest_flow2,
         batch_outcome,
         batch_generate,
+        batch_large,
         ingest_all,
         queue_routing,
         flow1_reflect,
@@ -460,6 +552,9 @@ QUERIES: dict[str, Query] = {
         rejected_messages,
         persist_projection,
         upsert_latest,
+        redelivered_same_seq,
+        table_current,
+        table_recompacted,
         end_to_end_flow1,
         end_to_end_flow2,
         table_scan,
@@ -476,6 +571,8 @@ QUERIES: dict[str, Query] = {
         replica_diff,
         replica_latest,
         stream_end_to_end,
+        stream_ingest_end_to_end,
+        stream_json_queues,
         stream_rejected,
         stream_upsert,
     )
@@ -493,5 +590,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of both flows through all stages, upserted; the ten newest rows."""
     configure(spark)
     made = ingest.direct_messages(fixtures.requests(spark, sf_dir))
-    rows = M.accepted(flows.finish(made, None, _clock())).drop("raw_payload")
+    rows = M.accepted(flows.finish(made, None, _clock()))
     return inspect.latest(persist.upsert(rows), 10).withColumn("created_at", _wall())

@@ -12,7 +12,6 @@ from relaymill.functions import audit
 from relaymill.functions.identity import message_id
 from relaymill.operators import messages as M
 from relaymill.schema import PATH_BATCH, PATH_FLOW1, PATH_FLOW2
-from relaymill.sources.requests import spread
 
 REDELIVERY_OFFSET = 1_000_000_000
 
@@ -21,6 +20,20 @@ def _divides(n: int) -> Column:
     return F.col("seq") % n == 0
 
 
+def spread(rows: DataFrame, key: str = "seq") -> DataFrame:
+    """Use all cores where the files give fewer tasks than there are cores.
+
+    Handling a record costs far more than moving it, and a file of one row group cannot be
+    split by the scan. Inputs with enough files, i.e. all big ones, stay as they are and
+    are not shuffled. The key must be close to unique; hashing it sends a record to the
+    same task again when a lost one is run once more.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores, key)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     return spread(table, "event_id").select(
@@ -83,6 +96,25 @@ def batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def large_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some batch requests of up to 35,000 items under arrival numbers beyond 40 bits."""
+    e = events(spark, sf_dir)
+    body = F.concat(F.lit('{"count": '), (F.col("k") * 100 + 25_000).cast("string"), F.lit("}"))
+    return e.select(
+        (F.col("seq") + F.when(F.col("seq") % 2000 == 0, F.lit(1 << 40)).otherwise(F.lit(0))).alias("seq"),
+        F.lit(PATH_BATCH).alias("path"),
+        F.when(F.col("seq") % 1000 == 0, body).otherwise(F.lit('{"count": 0}')).alias("body"),
+        F.col("clock").alias("received_at"),
+    )
+
+
+def all_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every single request, and every batch request under a later arrival number."""
+    batches = batch_requests(spark, sf_dir)
+    later = batches.withColumn("seq", F.col("seq") + REDELIVERY_OFFSET)
+    return requests(spark, sf_dir).unionByName(later)
+
+
 def messages(spark: SparkSession, sf_dir: str, flow: int | None = None) -> DataFrame:
     """Well-formed messages, of one flow or both, as built by stage 1."""
     e = events(spark, sf_dir)
@@ -91,6 +123,7 @@ def messages(spark: SparkSession, sf_dir: str, flow: int | None = None) -> DataF
     return M.with_missing_columns(
         e.select(
             "seq",
+            F.lit(0).cast("bigint").alias("position"),
             "clock",
             "flow",
             message_id(F.col("seq")).alias("message_id"),
@@ -105,7 +138,7 @@ def messages(spark: SparkSession, sf_dir: str, flow: int | None = None) -> DataF
 
 def records(spark: SparkSession, sf_dir: str, flow: int) -> DataFrame:
     """The same messages as JSON documents in the flow's first queue."""
-    return M.encode(messages(spark, sf_dir, flow)).select("seq", "clock", "body")
+    return M.encode(messages(spark, sf_dir, flow)).select("seq", "position", "clock", "body")
 
 
 def faulty_records(spark: SparkSession, sf_dir: str, flow: int) -> DataFrame:
@@ -113,7 +146,7 @@ def faulty_records(spark: SparkSession, sf_dir: str, flow: int) -> DataFrame:
     e = events(spark, sf_dir).where(F.col("flow") == flow)
     key, plain = ("counter", F.col("k")) if flow == 1 else ("value", F.col("v"))
     rule = F.lit(None).cast("int")
-    for n in (41, 43, 47, 53, 59, 61):  # the largest divisor is tested first
+    for n in (23, 29, 31, 37, 41, 43, 47, 53, 59, 61):  # the largest divisor is tested first
         rule = F.when(_divides(n), F.lit(n)).otherwise(rule)
     e = e.withColumn("_rule", F.coalesce(rule, F.lit(0)))
     has = F.col("_rule")
@@ -127,19 +160,22 @@ def faulty_records(spark: SparkSession, sf_dir: str, flow: int) -> DataFrame:
     members = [
         member("flow", F.lit(str(flow))),
         member("message_id", quoted(message_id(F.col("seq")))),
-        F.when(has != 43, member("item_id", F.col("seq").cast("string"))),
+        F.when(has == 31, member("item_id", F.lit('"12d"')))
+        .when(has == 29, member("item_id", F.lit('"0x1p3"')))
+        .when(has == 23, member("item_id", F.lit("99999999999999999999")))
+        .when(has != 43, member("item_id", F.col("seq").cast("string"))),
         member(
             "initial_data",
             quoted(F.when(has == 47, F.repeat(F.lit("x"), 256)).otherwise(F.col("event_type"))),
         ),
-        F.when(has == 59, member(key, F.lit("null"))).when(
-            has != 53, member(key, plain.cast("string"))
-        ),
+        F.when(has == 59, member(key, F.lit("null")))
+        .when(has == 37, member(key, F.lit("1e400")))
+        .when(has != 53, member(key, plain.cast("string"))),
         F.when(has == 41, member("tag", quoted(F.col("event_type")))),
         F.when(has != 61, member("history", F.to_json(audit.started(F.col("clock"))))),
     ]
     body = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
-    return e.select("seq", "clock", body.alias("body"))
+    return e.select("seq", F.lit(0).cast("bigint").alias("position"), "clock", body.alias("body"))
 
 
 def redelivered(messages_: DataFrame) -> DataFrame:

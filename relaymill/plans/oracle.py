@@ -104,22 +104,28 @@ _BATCHES = f"""{_E}, b AS (
               ELSE k % 8 END AS n
   FROM e), u AS (
   SELECT seq, clock, unnest(range(1, n + 1)) AS item_id FROM b WHERE n >= 1), g AS (
-  SELECT seq * 16777216 + 2 * (item_id - 1) + flow - 1 AS seq, flow,
-         {_uuid("'msg-' || seq || '-' || (2 * (item_id - 1) + flow - 1)")} AS message_id,
+  SELECT seq, item_id AS position, flow, clock,
+         {_uuid("'msg-' || seq || '-' || item_id || '-' || flow")} AS message_id,
          item_id,
          CASE flow WHEN 1 THEN 'Flow-1 original payload for item #' || item_id
                    ELSE 'Flow-2 raw metric for item #' || item_id END AS initial_data,
          CASE flow WHEN 1 THEN 100 + item_id END AS counter,
-         CASE flow WHEN 2 THEN 25.0 + (item_id % 10) * 1.5 END::DOUBLE AS value,
-         seq AS request
+         CASE flow WHEN 2 THEN 25.0 + (item_id % 10) * 1.5 END::DOUBLE AS value
   FROM u, (VALUES (1), (2)) f(flow))"""
+# The same batch requests under later arrival numbers, beside the single ones.
+_ALL = f"""{_REQUESTS},
+  {_BATCHES.removeprefix(_E).lstrip(', ').replace('SELECT seq, clock, unnest', 'SELECT seq + 1000000000 AS seq, clock, unnest')}, every AS (
+  SELECT seq, CAST(0 AS BIGINT) AS position, flow, clock, message_id, item_id, initial_data, k, v
+  FROM made UNION ALL
+  SELECT seq, position, flow, clock, message_id, item_id, initial_data, counter, value FROM g)"""
 
 # Faulty documents: the first matching divisor decides.
 _FAULTS = f"""{_E}, x AS (
   SELECT *, {_MESSAGE_ID} AS message_id,
          CASE WHEN seq % 61 = 0 THEN 61 WHEN seq % 59 = 0 THEN 59 WHEN seq % 53 = 0 THEN 53
               WHEN seq % 47 = 0 THEN 47 WHEN seq % 43 = 0 THEN 43 WHEN seq % 41 = 0 THEN 41
-              ELSE 0 END AS fault
+              WHEN seq % 37 = 0 THEN 37 WHEN seq % 31 = 0 THEN 31 WHEN seq % 29 = 0 THEN 29
+              WHEN seq % 23 = 0 THEN 23 ELSE 0 END AS fault
   FROM e)"""
 
 
@@ -134,7 +140,9 @@ def _saved(source: str, extra: str = "", start: str = "clock") -> str:
          CASE WHEN flow = 2 THEN 'process3' END AS verified_by,
          CASE WHEN flow = 1 THEN {_trail(1, 4, start=start)}
               ELSE {_trail(2, 4, start=start)} END AS history_trail,
-         clock AS created_at{extra}
+         clock AS created_at,
+         CASE WHEN flow = 1 THEN k + 10.0 ELSE {_SCALED} END::DOUBLE AS payload_number,
+         true AS payload_flag, CAST(4 AS INTEGER) AS payload_steps{extra}
   FROM {source}"""
 
 
@@ -155,7 +163,7 @@ _REDELIVERED = f"""{_MESSAGES}, w2 AS (
   FROM s2), p AS (
   SELECT f.seq AS id, f.message_id, f.flow_id, f.item_id, f.initial_data,
          l.counter_value, l.metric_value, l.examined_status, l.verified_by,
-         l.history_trail, f.created_at
+         l.history_trail, f.created_at, l.payload_number, l.payload_flag, l.payload_steps
   FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY seq) = 1) f
   JOIN (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY seq DESC) = 1) l
   USING (message_id))"""
@@ -165,10 +173,6 @@ _SUMMARY = (
     "id, flow_id, item_id, counter_value, metric_value, examined_status, verified_by, created_at"
 )
 _COMPARED = "id, message_id, flow_id, item_id, counter_value, metric_value"
-_SAVED_AT = "json_extract_string(history_trail, '$[3].timestamp')"
-_STAGE_LIST = " || ',' || ".join(
-    f"json_extract_string(history_trail, '$[{i}].stage')" for i in range(4)
-)
 
 
 def _end_to_end(flow: int) -> str:
@@ -185,8 +189,10 @@ def _rejects() -> str:
              CASE fault WHEN 61 THEN 'history_not_a_list'
                         WHEN 59 THEN CASE flow WHEN 1 THEN 'counter' ELSE 'value' END || '_not_a_number'
                         WHEN 47 THEN 'initial_data_too_long'
-                        ELSE 'item_id_missing' END AS reason
-      FROM x WHERE fault IN (61, 59, 47, 43)"""
+                        WHEN 37 THEN CASE flow WHEN 1 THEN 'counter' ELSE 'value' END || '_unusable'
+                        WHEN 43 THEN 'item_id_missing'
+                        ELSE 'item_id_unusable' END AS reason
+      FROM x WHERE fault IN (61, 59, 47, 43, 37, 31, 29, 23)"""
 
 
 def _latest_of(flow: int) -> str:
@@ -195,7 +201,7 @@ def _latest_of(flow: int) -> str:
         2: "message_id, initial_data, metric_value, examined_status, verified_by",
     }[flow]
     return (
-        f"{_P} SELECT {columns}, {_STAGE_LIST} AS stages, {_SAVED_AT} AS saved_at "
+        f"{_P} SELECT {columns}, history_trail AS audit_trail "
         f"FROM p WHERE flow_id = {flow} ORDER BY id DESC LIMIT 1"
     )
 
@@ -224,13 +230,16 @@ def statements() -> dict[str, str]:
           SELECT seq, CASE WHEN n IS NULL THEN 500 ELSE 200 END AS status_code,
                  CAST(CASE WHEN n > 0 THEN 2 * n ELSE 0 END AS BIGINT) AS messages FROM b""",
         "batch_generate": f"""WITH {_BATCHES}
-          SELECT seq, flow, message_id, item_id, initial_data, counter, value FROM g""",
-        "ingest_all": f"""WITH {_REQUESTS},
-          {_BATCHES.removeprefix(_E).lstrip(', ')}
-          SELECT seq * 16777216 AS seq, flow, message_id, item_id, initial_data
-          FROM made WHERE seq % 2 = 0
-          UNION ALL SELECT seq, flow, message_id, item_id, initial_data
-          FROM g WHERE request % 2 = 1""",
+          SELECT seq, position, flow, message_id, item_id, initial_data, counter, value FROM g""",
+        "batch_large": f"""WITH {_E}, b AS (
+            SELECT CASE WHEN seq % 2000 = 0 THEN seq + 1099511627776 ELSE seq END AS seq,
+                   k * 100 + 25000 AS n FROM e WHERE seq % 1000 = 0)
+          SELECT seq, flow, n AS messages, CAST(1 AS BIGINT) AS first, n AS last,
+                 CAST(n * (n + 1) // 2 AS BIGINT) AS items
+          FROM b, (VALUES (1), (2)) f(flow)""",
+        "ingest_all": f"""WITH {_ALL}
+          SELECT seq, position, flow, message_id, item_id, initial_data, k AS counter, v AS value,
+                 {_trail(1, 1)} AS history FROM every""",
         "queue_routing": f"""WITH {_REQUESTS}
           SELECT seq, message_id, flow, stage, consumed_from, forwarded_to
           FROM made JOIN (VALUES
@@ -265,6 +274,7 @@ def statements() -> dict[str, str]:
           SELECT seq, flow,
                  CASE fault WHEN 59 THEN 'null' WHEN 53 THEN 'absent' ELSE 'given' END AS received,
                  CASE WHEN fault IN (59, 61) THEN NULL
+                      WHEN fault = 37 THEN CASE WHEN flow = 2 THEN 'Infinity'::DOUBLE END
                       WHEN flow = 1 THEN CASE WHEN fault = 53 THEN 0 ELSE k END + 10.0
                       ELSE CASE WHEN fault = 53 THEN 0.0 ELSE {_SCALED} END END::DOUBLE AS result,
                  CASE fault WHEN 61 THEN 'history_not_a_list'
@@ -273,12 +283,16 @@ def statements() -> dict[str, str]:
           FROM x""",
         "rejected_messages": _rejects(),
         "persist_projection": f"""WITH {_MESSAGES}
-          SELECT s.*, CASE WHEN flow_id = 1 THEN true END AS reflected,
+          SELECT s.* EXCLUDE (payload_number, payload_flag, payload_steps),
+                 CASE WHEN flow_id = 1 THEN true END AS reflected,
                  CASE WHEN flow_id = 1 THEN true END AS acknowledged,
                  CASE WHEN flow_id = 2 THEN true END AS completed,
                  CAST(coalesce(counter_value, metric_value) AS DOUBLE) AS number
           FROM s""",
         "upsert_latest": table,
+        "table_current": table,
+        "table_recompacted": table,
+        "redelivered_same_seq": table,
         "end_to_end_flow1": _end_to_end(1),
         "end_to_end_flow2": _end_to_end(2),
         "table_scan": table,
@@ -286,7 +300,7 @@ def statements() -> dict[str, str]:
         "latest_flow1": _latest_of(1),
         "latest_flow2": _latest_of(2),
         "flow_rows": f"{_P} SELECT * FROM p WHERE flow_id = 2",
-        "lookup_message": f"{_P} SELECT * FROM p WHERE message_id = (SELECT min(message_id) FROM p)",
+        "lookup_message": f"{_P} SELECT * FROM p WHERE message_id = {_uuid(chr(39) + 'msg-41' + chr(39))}",
         "lookup_flow_item": f"{_P} SELECT * FROM p WHERE flow_id = 1 AND item_id = 41",
         "created_range": f"""{_P} SELECT * FROM p
           WHERE created_at >= TIMESTAMP '2024-01-10' AND created_at < TIMESTAMP '2024-01-12'""",
@@ -303,7 +317,7 @@ def statements() -> dict[str, str]:
             FROM t)
           SELECT *, '[' || stage || '] at ' || timestamp || ': ' || description AS line FROM l""",
         "audit_pretty": f"""{_P}
-          SELECT message_id, {_STAGE_LIST} AS stages, {_SAVED_AT} AS saved_at FROM p""",
+          SELECT message_id, history_trail AS audit_trail FROM p""",
         "replica_diff": f"""{_P}, q AS (
             SELECT id, message_id, flow_id, item_id,
                    CASE WHEN id % 700 = 1 AND flow_id = 1 THEN counter_value + 1
@@ -324,6 +338,11 @@ def statements() -> dict[str, str]:
           SELECT *, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT)
           FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM a)""",
         "stream_end_to_end": f"WITH {_MESSAGES} SELECT seq AS id, * EXCLUDE (seq) FROM s",
+        "stream_ingest_end_to_end": f"""WITH {_ALL}, z AS ({_saved("every", ", position")})
+          SELECT seq AS id, * EXCLUDE (seq) FROM z""",
+        "stream_json_queues": f"""WITH {_MESSAGES}
+          SELECT seq, message_id, k + 10 AS counter, {_trail(1, 2)} AS history, clock
+          FROM w WHERE flow = 1""",
         "stream_rejected": _rejects(),
         "stream_upsert": table,
     }

@@ -65,11 +65,13 @@ REQUEST = T.StructType(
     ]
 )
 
-# What lies in a queue: the JSON document plus its arrival number and the clock reading
-# its next stage stamps it with.
+# What lies in a queue: the JSON document plus its place in the order of arrival and the
+# clock reading its next stage stamps it with. The place is the request's arrival number
+# and, for the messages of a batch, the position in it (0 for a single message).
 QUEUE_RECORD = T.StructType(
     [
         T.StructField("seq", T.LongType()),
+        T.StructField("position", T.LongType()),
         T.StructField("clock", T.TimestampType()),
         T.StructField("body", T.StringType()),
     ]
@@ -114,6 +116,7 @@ STORED_KEYS = (
 MESSAGE = T.StructType(
     [
         T.StructField("seq", T.LongType()),
+        T.StructField("position", T.LongType()),
         T.StructField("clock", T.TimestampType()),
         T.StructField("flow", T.IntegerType()),
         T.StructField("message_id", T.StringType()),
@@ -145,10 +148,12 @@ TEXT_LIMITS = {
     "verified_by": 50,
 }
 
-# The result table.
+# The result table. Rows are in the order of (id, position): the place in which the first
+# delivery of the key arrived.
 PROCESSED = T.StructType(
     [
         T.StructField("id", T.LongType(), False),
+        T.StructField("position", T.LongType(), False),
         T.StructField("message_id", T.StringType(), False),
         T.StructField("flow_id", T.IntegerType(), False),
         T.StructField("item_id", T.IntegerType(), False),

