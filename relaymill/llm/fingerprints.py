@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from relaymill.llm import edit_embedding
 from relaymill.llm.tables import materialised, table
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BAND_SLOTS = 8
 
 COMPARED = (
