@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, and their SQL where SQL can express them."""
+"""The registered queries of this subpackage; their SQL, where there is any, is in `statements`."""
 
 from __future__ import annotations
 
@@ -15,8 +15,11 @@ from relaymill.llm.quality_classifier import op3_quality_classifier
 from relaymill.llm.quality_rules import op7_quality_rules
 from relaymill.llm.secret_scan import op5_secret_scan
 from relaymill.llm.sharding import op8_sharding
+from relaymill.llm.statements import statements
 from relaymill.llm.tokens import op4_bpe
 
+__all__ = ["queries", "statements"]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -31,7 +34,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_fingerprints": op10_fingerprints,
     }
-
-
-def statements() -> dict[str, str]:
-    return {}
