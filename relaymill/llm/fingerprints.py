@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,7 @@ from relaymill.llm import edit_embedding
 from relaymill.llm.tables import materialised, table
 
 BLOCK_BYTES = 8 << 20
+MOST_RANGES = 4096
 BAND_SLOTS = 8
 
 COMPARED = (
@@ -52,23 +54,35 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return docs.select(*names).mapInArrow(add, schema)
 
 
-def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+def _blocks(docs: DataFrame, block_bytes: int, most_ranges: int = MOST_RANGES) -> DataFrame:
     """Rows with `block`: ranges of doc_id in ascending order, of about `block_bytes` each.
 
-    The borders are quantiles of doc_id; a few rows more or less in a block do no harm.
+    The ids are cut at quantiles, into `most_ranges` at most, and each of these ranges evenly
+    into as many parts as are still needed. A few rows more or less in a block do no harm.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     number = max(1, -(-size // block_bytes))
-    borders: list[float] = []
-    if number > 1:
-        steps = [k / number for k in range(1, number)]
-        borders = sorted(set(docs.approxQuantile("doc_id", steps, 0.25 / number)))
-    edges = F.array(*(F.lit(int(b)) for b in borders)) if borders else F.array().cast("array<bigint>")
-    # number of borders that the id has reached
-    block = F.aggregate(edges, F.lit(0), lambda n, b: n + F.when(F.col("doc_id") >= b, 1).otherwise(0))
-    return docs.withColumn("block", F.coalesce(block, F.lit(0)) if borders else F.lit(0)).withColumn(
-        "block", F.when(F.col("doc_id").isNull(), len(borders)).otherwise(F.col("block"))
+    if number == 1:
+        return docs.withColumn("block", F.lit(0).cast("bigint"))
+    ranges = min(number, most_ranges)
+    steps = [k / ranges for k in range(ranges + 1)]
+    borders = sorted(set(docs.approxQuantile("doc_id", steps, 0.25 / ranges)))
+    if len(borders) < 2:
+        return docs.withColumn("block", F.lit(0).cast("bigint"))
+    parts = -(-number // (len(borders) - 1))
+    # a binary search over the borders, on the JVM
+    found = Bucketizer(
+        splits=[float("-inf"), *borders[1:-1], float("inf")], inputCol="_id", outputCol="_range", handleInvalid="keep"
+    ).transform(docs.withColumn("_id", F.col("doc_id").cast("double")))
+    at = F.col("_range").cast("int") + 1
+    low = F.element_at(F.lit(borders[:-1]), at)
+    high = F.element_at(F.lit(borders[1:]), at)
+    part = F.floor(parts * (F.col("_id") - low) / F.greatest(high - low, F.lit(1.0)))
+    part = F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1))
+    block = F.when(F.col("_id").isNull(), F.lit(parts * (len(borders) - 1) - 1)).otherwise(
+        F.col("_range").cast("bigint") * parts + part
     )
+    return found.withColumn("block", block.cast("bigint")).drop("_id", "_range")
 
 
 def compared(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -105,6 +105,18 @@ def test_blocks_equal_brute_force(spark):
         assert sorted(rows, key=key) == sorted(expected(docs), key=key)
 
 
+def test_blocks_are_in_the_order_of_ids(spark):
+    rng = random.Random(11)
+    ids = [rng.randrange(-(10**6), 10**6) ** 3 for _ in range(3000)] + [None, None, 7, 7]
+    frame = spark.createDataFrame([(i, "x" * 100) for i in ids], "doc_id long, text string")
+    for ranges in (4, 4096):
+        rows = P._blocks(frame, 3000, ranges).collect()
+        placed = sorted((r.doc_id, r.block) for r in rows if r.doc_id is not None)
+        assert [b for _, b in placed] == sorted(b for _, b in placed)
+        assert {r.block for r in rows if r.doc_id is None} <= {max(b for _, b in placed), max(r.block for r in rows)}
+        assert len({b for _, b in placed}) > 20
+
+
 def test_query(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = P.op10_fingerprints(spark, SF).collect()
