@@ -65,11 +65,7 @@ class Ledger:
 
     def read(self) -> DataFrame | None:
         """All entries of finished scans under the present rules; None if there are none."""
-        done = [
-            f"{self.folder}/{name}"
-            for name in files.children(self.spark, self.folder)
-            if files.is_complete(self.spark, f"{self.folder}/{name}")
-        ]
+        done = files.complete(self.spark, f"{self.folder}/*")
         if not done:
             return None
         entries = self.spark.read.schema(LEDGER).parquet(*done)
@@ -89,8 +85,11 @@ class Ledger:
         return self.read().dropDuplicates(["blob"])
 
     def compact(self) -> None:
-        """Write all entries of the present rules to one folder; older ones may then go."""
+        """Put all entries of the present rules into one folder. Not while scans run."""
+        older = files.complete(self.spark, f"{self.folder}/*")
         self.read().dropDuplicates(["blob"]).write.parquet(f"{self.folder}/compact-{uuid.uuid4().hex[:12]}")
+        for path in older:
+            files.remove(self.spark, path)
 
 
 def scanned(versions: DataFrame, folder: str | None = None) -> DataFrame:
