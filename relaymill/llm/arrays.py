@@ -6,11 +6,14 @@ are 64 bits wide; two different strings agree with a chance of about 5e-20.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from relaymill.llm import per_process
+
 SLICE_BYTES = 1 << 20
 
 # The word separators of the contracts: space and the bytes 9 to 13.
@@ -24,7 +27,6 @@ _random = np.random.default_rng(20240607)
 _BYTE_VALUES = _random.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,15 +40,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def _power_table(base: int, size: int) -> np.ndarray:
-    kept = _powers.get(base)
-    if kept is None or len(kept) < size:
-        kept = np.full(max(size, SLICE_BYTES + 1), base, dtype=np.uint64)
-        kept[0] = 1
-        kept = np.cumprod(kept, dtype=np.uint64)
-        if size <= 8 * SLICE_BYTES:  # a giant document must not stay in memory
-            _powers[base] = kept
-    return kept[:size]
+    usual = 2 * SLICE_BYTES
+    if size > usual:  # that of a giant document is not kept
+        return _powers(base, size)
+    return per_process.kept(f"powers:{base}", lambda: _powers(base, usual))[:size]
+
+
+def released() -> None:
+    """Give freed memory back to the machine: a worker lives on between its tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class Slice:
@@ -115,6 +127,7 @@ def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         part = offsets[at : end + 1]
         yield at, end, Slice(data[part[0] : part[-1]], part - part[0])
         at = end
+    released()
 
 
 def windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,10 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from relaymill.session import work_dir
 
+BATCH_BYTES = 8 << 20
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of a few megabytes, however long they are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +35,7 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage without depending on any one executor, and gives the planner
     true sizes, so that it broadcasts only what is known to be small.
     """
+    bounded_batches(df.sparkSession)
     folder = fresh_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
