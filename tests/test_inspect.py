@@ -13,7 +13,7 @@ from tests.conftest import T0
 
 def row(id_, flow=1, history=(), **cells):
     entries = [tuple(e.get(k) for k in (*audit.AUDIT_KEYS, "other")) for e in history]
-    base = dict(id=id_, message_id=f"m{id_}", flow_id=flow, item_id=id_ % 3, initial_data="d",
+    base = dict(id=id_, position=0, message_id=f"m{id_}", flow_id=flow, item_id=id_ % 3, initial_data="d",
                 counter_value=None, metric_value=None, examined_status=None, verified_by=None,
                 history_trail=entries, raw_payload="{}", created_at=T0)
     return tuple((base | cells)[n] for n in PROCESSED.names)
@@ -30,6 +30,15 @@ def test_latest(rows):
     assert inspect.latest(rows, 5).columns == list(inspect.SUMMARY)
 
 
+def test_position_orders_rows_of_one_request(spark):
+    cells = [(7, p, f) for p in (1, 2, 3) for f in (1, 2)]
+    made = [row(i, f, position=p, message_id=f"{p}-{f}", item_id=p) for i, p, f in cells]
+    rows = spark.createDataFrame([*made, row(8)], PROCESSED).repartition(3)
+    newest = inspect.latest(rows, 4, ("message_id",)).collect()
+    assert [r.message_id for r in newest] == ["m8", "3-2", "3-1", "2-2"]
+    assert inspect.latest_of_flow(rows.where("id = 7"), 1).first().message_id == "3-1"
+
+
 def test_latest_of_flow_and_lookups(rows):
     assert [r.message_id for r in inspect.latest_of_flow(rows, 1).collect()] == ["m20"]
     assert [r.message_id for r in inspect.latest_of_flow(rows, 2).collect()] == ["m19"]
