@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,9 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def bounded_batches(spark: SparkSession) -> None:
     """Hand texts to Python in batches of a few megabytes, however long they are."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).removesuffix("b")) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)i?b?", spark.conf.get(key).lower()).groups()
+    held = int(number) << (10 * " kmgtp".index(unit or " "))
+    if not 0 < held <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
