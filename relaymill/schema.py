@@ -77,7 +77,7 @@ QUEUE_RECORD = T.StructType(
     ]
 )
 
-# Keys an audit entry may hold, in the order they are written.
+# Keys an audit entry may hold, in the order they are written.
 AUDIT_KEYS = (
     "stage",
     "timestamp",
@@ -96,7 +96,7 @@ HISTORY = T.ArrayType(AUDIT_ENTRY)
 
 # Keys without a column in the table; they are kept in the stored document only.
 UNSTORED_FLAGS = ("process2_flow1_reflected", "process3_acknowledged", "completed")
-# Message keys the sink stores in a column of its own.
+# Message keys the sink stores in a column of its own.
 STORED_KEYS = (
     "message_id",
     "flow",
@@ -148,7 +148,7 @@ TEXT_LIMITS = {
     "verified_by": 50,
 }
 
-# The result table. Rows are in the order of (id, position): the place in which the first
+# The columns of the result table, but for `position`. Rows are in the order of (id, position): the place in which the first
 # delivery of the key arrived.
 PROCESSED = T.StructType(
     [
