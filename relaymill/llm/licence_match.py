@@ -3,14 +3,15 @@
 Normalised text: A to Z in lower case; everything but letters, digits and bytes beyond ASCII
 separates words; lines that only name a copyright holder are left out.
 
-Units compared: the whole text, every line, and every run of lines at least half of whose
-bigrams occur in templates. A unit of a bigrams and a template of b can only reach a Dice of
-t if  b t/(2-t) <= a <= b (2-t)/t , so the templates, sorted by size, are cut to a range; and
-only if the unit has (a + b) t/2 bigrams that occur in templates at all.
+Units compared: all windows of words of a text, wherever they begin and end, so every line,
+run of lines and whole text is among them. A window of a bigrams and a template of b can only
+reach a Dice of t if  b t/(2-t) <= a <= b (2-t)/t , and only if it has b t/(2-t) bigrams of the
+template at all, so windows begin where so many of them follow within the greatest length.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -25,6 +26,7 @@ _WORD[128:] = True
 for _range in (range(48, 58), range(65, 91), range(97, 123)):
     _WORD[list(_range)] = True
 _HOLDER = re.compile(rb"^[^a-z0-9]*(copyright|\xc2\xa9|\(c\))\b.{0,160}$")
+_HOLDER_SIGN = re.compile(rb"copyright|\xc2\xa9|\(c\)")
 _RUN = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -38,32 +40,19 @@ class Templates:
     def __init__(self, texts: list[tuple[str, str]], least: float = LEAST):
         self.least = least
         found = [(name, bigrams([" ".join(text.lower().split()).encode()])) for name, text in texts]
+        found = [(name, grams) for name, grams in found if grams]
         found.sort(key=lambda x: (x[1].total(), x[0]))
         self.names = [name for name, _ in found]
-        self.grams = [grams for _, grams in found]
-        self.sizes = np.array([g.total() for g in self.grams])
-        known = np.array([_pair_hash(a, b) for grams in self.grams for a, b in grams], dtype=np.uint64)
-        self.known = np.unique(known)
-
-    def candidates(self, size: int, hits: int) -> range:
-        """Templates that a unit of this size, with so many known bigrams, may be like."""
-        t = self.least
-        low = np.searchsorted(self.sizes, size * t / (2 - t) - 1e-9)
-        high = np.searchsorted(self.sizes, size * (2 - t) / t + 1e-9, side="right")
-        # overlap is at most the number of hits: 2 hits >= t (size + template)
-        high = min(high, np.searchsorted(self.sizes, 2 * hits / t - size + 1e-9, side="right"))
-        return range(int(low), int(high))
-
-    def best(self, grams: Counter, hits: int) -> tuple[float, str] | None:
-        """The most similar template, if it reaches the least Dice; ties by name."""
-        size = grams.total()
-        found = None
-        for k in self.candidates(size, hits):
-            overlap = (grams & self.grams[k]).total()
-            dice = 2 * overlap / (size + int(self.sizes[k]))
-            if dice >= self.least and (found is None or (-dice, self.names[k]) < (-found[0], found[1])):
-                found = (dice, self.names[k])
-        return found
+        self.sizes = [grams.total() for _, grams in found]
+        self.longest = [math.floor(b * (2 - least) / least + 1e-9) for b in self.sizes]
+        self.fewest = [max(1, math.ceil(b * least / (2 - least) - 1e-9)) for b in self.sizes]
+        hashed = [{_pair_hash(*pair): n for pair, n in grams.items()} for _, grams in found]
+        self.known = np.unique(np.array([h for grams in hashed for h in grams], dtype=np.uint64))
+        # how often each template has each of the known bigrams
+        self.counts = np.zeros((len(found), len(self.known)), dtype=np.int64)
+        for k, grams in enumerate(hashed):
+            at = np.searchsorted(self.known, np.array(list(grams), dtype=np.uint64))
+            self.counts[k, at] = list(grams.values())
 
 
 def _pair_hash(a: bytes, b: bytes) -> int:
@@ -77,62 +66,114 @@ def _pairs(words: np.ndarray) -> np.ndarray:
     return arrays.mix(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:])
 
 
-def known_per_line(part: arrays.Slice, templates: Templates):
-    """Lines of the texts: starts, ends, lines per text, bigrams and known bigrams of each."""
+def _without_holders(part: arrays.Slice, line_starts, line_ends, line: np.ndarray) -> np.ndarray:
+    """Which words, given by their lines, are not in a line that only names a holder."""
+    data = part.data.tobytes()
+    signs = np.array([m.start() for m in _HOLDER_SIGN.finditer(data)], dtype=np.int64)
+    holders = [
+        k
+        for k in np.unique(np.searchsorted(line_starts, signs, side="right") - 1).tolist()
+        if _HOLDER.match(data[line_starts[k] : line_ends[k]])
+    ]
+    return ~np.isin(line, holders)
+
+
+def matches(part: arrays.Slice, templates: Templates) -> list[list[tuple[int, int, str, float]]]:
+    """For each text: (first line, last line, licence, Dice) of its matches.
+
+    Lines are counted from 0 and leave empty ones out. Matches share no bigram; `_chosen`
+    says which of those that overlap are taken.
+    """
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in range(part.n)]
     part = part.lower()
     starts, ends, _ = part.spans(_WORD[part.data])
     line_starts, line_ends, lines = part.spans(part.data != 10)
-    if len(starts) < 2 or not len(line_starts):
-        none = np.zeros(len(line_starts), dtype=np.int64)
-        return part, line_starts, line_ends, lines, none, none
-    pairs = _pairs(part.hashes(starts, ends))
     line = np.searchsorted(line_starts, starts, side="right") - 1
-    inside = line[:-1] == line[1:]
+    told = _without_holders(part, line_starts, line_ends, line)
+    starts, ends, line = starts[told], ends[told], line[told]
+    if len(starts) < 2 or not templates.names:
+        return out
+    text = arrays.owners(lines)[line]
+    pairs = _pairs(part.hashes(starts, ends))
     at = np.minimum(np.searchsorted(templates.known, pairs), len(templates.known) - 1)
-    hit = inside & (templates.known[at] == pairs)
-    size = np.bincount(line[:-1][inside], minlength=len(line_starts))
-    return part, line_starts, line_ends, lines, size, np.bincount(line[:-1][hit], minlength=len(line_starts))
+    hits = np.flatnonzero((templates.known[at] == pairs) & (text[:-1] == text[1:]))
+    grams = at[hits]
+    begun: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    for k, (fewest, longest) in enumerate(zip(templates.fewest, templates.longest)):
+        own = np.flatnonzero(templates.counts[k, grams])
+        place = hits[own]
+        last = place[fewest - 1 :]
+        first = place[: len(last)]
+        may = np.flatnonzero((last - first < longest) & (text[first] == text[last]))
+        if not len(may):
+            continue
+        for t in np.unique(text[first[may]]).tolist():
+            low, high = np.searchsorted(text[place], [t, t + 1])
+            inside = may[(may >= low) & (may < high)] - low
+            rows = own[low:high]
+            begun.setdefault(t, []).append((k, hits[rows], _spent(grams[rows], hits[rows], templates.counts[k]), inside))
+    firsts = np.cumsum(lines) - lines
+    for t, found in begun.items():
+        out[t] = [
+            (int(line[a] - firsts[t]), int(line[b + 1] - firsts[t]), templates.names[k], dice)
+            for a, b, k, dice in _chosen(found, templates)
+        ]
+    return out
 
 
-def matches(part: arrays.Slice, templates: Templates) -> list[list[tuple[int, int, str, float]]]:
-    """For each text: (first line, last line, licence, Dice) of all units that match.
+def _spent(grams: np.ndarray, place: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each bigram the place of the earlier one like it that must not be in the window.
 
-    Lines are counted from 0 and leave empty ones out. Of units that lie within another one
-    with the same licence, only the one with the higher Dice is kept.
+    A bigram adds to the overlap while the window has fewer of its kind than the template.
     """
-    part, starts, ends, lines, size, hits = known_per_line(part, templates)
-    dense = (2 * hits >= size) & (hits > 0)
-    firsts = np.cumsum(lines) - lines
-    out: list[list[tuple[int, int, str, float]]] = []
-    some = np.add.reduceat(np.concatenate((dense, [False])).astype(np.int64), firsts) if len(lines) else []
-    for k in range(len(lines)):
-        first, number = int(firsts[k]), int(lines[k])
-        if not number or not some[k]:
-            out.append([])
-            continue
-        marked = dense[first : first + number]
-        change = np.flatnonzero(np.diff(np.concatenate(([False], marked, [False])).astype(np.int8)))
-        runs = {(int(a), int(b) - 1) for a, b in zip(change[::2], change[1::2])}
-        units = runs | {(i, i) for a, b in runs for i in range(a, b + 1)} | {(0, number - 1)}
-        found = []
-        for a, b in sorted(units):
-            rows = range(first + a, first + b + 1)
-            known = int(hits[rows.start : rows.stop].sum())
-            # pairs that span two lines are known at most once per line end
-            total = int(size[rows.start : rows.stop].sum())
-            if not len(templates.candidates(total, known + b - a)) and b == a:
-                continue
-            grams = bigrams([part.data[starts[r] : ends[r]].tobytes() for r in rows])
-            best = templates.best(grams, min(grams.total(), known + b - a))
-            if best:
-                found.append((a, b, best[1], best[0]))
-        out.append(_outermost(found))
+    order = np.argsort(grams, kind="stable")
+    kind = grams[order]
+    rank = np.arange(len(order))
+    earlier = rank - counts[kind]
+    there = (earlier >= 0) & (kind[np.maximum(earlier, 0)] == kind)
+    out = np.full(len(order), -1, dtype=np.int64)
+    out[order] = np.where(there, place[order[np.maximum(earlier, 0)]], -1)
     return out
 
 
-def _outermost(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
-    kept: list[tuple[int, int, str, float]] = []
-    for unit in sorted(found, key=lambda u: (-u[3], u[0] - u[1], u[0])):
-        if not any(unit[0] <= k[1] and k[0] <= unit[1] for k in kept):
-            kept.append(unit)
-    return sorted(kept)
+def _chosen(found: list[tuple], templates: Templates) -> list[tuple[int, int, int, float]]:
+    """(first bigram, last bigram, template, Dice) of the matches in a text.
+
+    Of all sets of matches without a common bigram the one is taken whose sum of
+    overlap - (window + template) / 4  is greatest: a Dice of 1/2 would count nothing, a
+    better match counts more than a worse one, and a text more than a notice inside it.
+    """
+    todo = sorted((int(place[s]), k, n, int(s)) for n, (k, place, _, inside) in enumerate(found) for s in inside)
+    # best sum of matches up to the one that ends at a place, that match, and the one before it
+    ended: dict[int, tuple[float, tuple, int | None]] = {}
+    waiting: list[int] = []
+    so_far, latest = 0.0, None
+    for first, k, n, s in todo:
+        closed = [e for e in waiting if e < first]
+        if closed:
+            waiting = [e for e in waiting if e >= first]
+            for e in sorted(closed):
+                if ended[e][0] > so_far:
+                    so_far, latest = ended[e][0], e
+        _, place, spent, _ = found[n]
+        size, longest = templates.sizes[k], templates.longest[k]
+        stop = int(np.searchsorted(place, first + longest))
+        ends = place[s:stop]
+        overlap = np.cumsum(spent[s:stop] < first)
+        both = ends - first + 1 + size
+        dice = 2 * overlap / both
+        for e in np.flatnonzero(dice >= templates.least).tolist():
+            end, total = int(ends[e]), so_far + float(overlap[e] - both[e] / 4)
+            if end not in ended:
+                waiting.append(end)
+            elif ended[end][0] >= total:
+                continue
+            ended[end] = (total, (first, end, k, float(dice[e])), latest)
+    for e in sorted(waiting):
+        if ended[e][0] > so_far:
+            so_far, latest = ended[e][0], e
+    out = []
+    while latest is not None:
+        _, match, latest = ended[latest]
+        out.append(match)
+    return out[::-1]

@@ -57,3 +57,41 @@ def test_odd_rows(spark, odd_docs, no_docs):
     out = L.scanned(odd_docs.withColumn("dice", F.lit("x"))).collect()
     assert len(out) == odd_docs.count() and all(r.licence is None and r.matches == [] for r in out)
     assert L.scanned(no_docs).count() == 0
+
+
+def test_adjoining_licences_and_licences_within_prose(spark):
+    """Every ordered pair of full texts, with and without a blank line, and each within a long line."""
+    full = [(name, text) for name, text in TEMPLATES if grams(text).total() >= 40]
+    texts = [(text, [name]) for name, text in full]
+    for a, first in full:
+        for b, second in full:
+            texts.append((f"{first}\n\n{second}\n", [a, b]))
+            texts.append((f"{first} {second}", [a, b]))
+    for name, text in full:
+        line = " ".join(text.split())
+        for words in (60, 100, 1000):
+            prose = " ".join(f"word{k % 37}" for k in range(words))
+            texts.append((f"{prose} {line} {prose}", [name]))
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r for r in L.scanned(frame).collect()}
+    for k, (_, names) in enumerate(texts):
+        assert [m.licence for m in found[k].matches] == names and found[k].dice > 0.95, names
+
+
+def test_windows_equal_brute_force(spark):
+    """With one small template, the best Dice is that of the best window of all."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))) for k in range(200)]
+    template = "a b a c a b d"
+    known = grams(template)
+    found = {r.doc_id: r for r in L.scanned(spark.createDataFrame(rows, "doc_id long, text string"), [("t", template)], 0.7).collect()}
+    hits = 0
+    for k, text in rows:
+        words = text.split()
+        best = max((dice(grams(" ".join(words[i:j])), known) for i in range(len(words)) for j in range(i + 2, len(words) + 1)), default=0)
+        assert (found[k].dice is not None) == (best >= 0.7 - 1e-12)
+        hits += best >= 0.7
+        assert found[k].dice is None or 0.7 - 1e-12 <= found[k].dice <= best + 1e-12
+    assert hits > 20
