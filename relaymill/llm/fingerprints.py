@@ -2,9 +2,10 @@
 
 See `edit_embedding` for the embedding. `fingerprinted` adds the fingerprint of each text;
 `compared` also that of an edited text, made with the beginning of the next document, and
-the likeness of the two and of neighbours; `near_duplicates` finds near copies: documents
-that agree in a band of sampled places become candidates, and the edit distance of the texts
-decides.
+the likeness of the two and of neighbours; `near_duplicates` finds near copies: texts that
+agree in a band of a sketch of their n-grams become candidates, and the edit distance decides.
+The sampled places would not do for that: after a few per cent of edits two walks of some
+thousand characters have little in common.
 
 Defined cases: a null text counts as empty; an empty text has a fingerprint of zeros; equal
 texts have equal fingerprints; the rows of equal doc_id are in the order of their texts, and
@@ -24,12 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relaymill.llm import edit_embedding
+from relaymill.llm import edit_embedding, near_sketch
 from relaymill.llm.tables import materialised, table
 
 BLOCK_BYTES = 8 << 20
 MOST_RANGES = 4096
-BAND_SLOTS = 8
 
 COMPARED = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
@@ -131,47 +131,68 @@ def _compare_block(block: pa.Table) -> pa.Table:
     )
 
 
-def near_duplicates(docs: DataFrame, most_edits: float = 0.1, band_slots: int = BAND_SLOTS) -> DataFrame:
-    """Verified near copies: doc_id, near_id (the smallest of a band's group), edits.
+def near_duplicates(docs: DataFrame, most_edits: float = 0.1) -> DataFrame:
+    """Verified near copies: doc_id, near_id, edits.
 
-    Fingerprints are cut into bands. The documents that agree in a band form a group, each
-    is compared with the group's smallest id only, so a group costs as many comparisons as
-    it has members. A pair counts if the edit distance is at most `most_edits` times the
-    longer length. Equal texts are found without a comparison.
+    Of equal texts each is linked to the one with the smallest id (0 edits). Of different
+    texts, each under its smallest id, all candidates are compared, and every pair whose edit
+    distance is at most `most_edits` times the longer length is given, the greater id first.
+    Candidates agree in a band of a sketch (see `near_sketch`). An id is null where a text
+    only occurs without one; null ids count as the greatest.
     """
-    marked = fingerprinted(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    marked = materialised(marked, "fingerprints")
-    width = 2 * band_slots
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(edit_embedding.SLOTS // band_slots - 1)),
-        lambda k: F.struct(k.alias("band"), F.substring("fingerprint", k * width + 1, F.lit(width)).alias("bits")),
-    )
-    rows = marked.where(F.length("text") > 0).select("doc_id", F.explode(bands).alias("b")).select("doc_id", "b.*")
-    groups = rows.groupBy("band", "bits").agg(F.min("doc_id").alias("near_id"), F.count(F.lit(1)).alias("n"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("text != ''")
+    key = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
+    copies = rows.select("doc_id", key.alias("key"))
+    classes = materialised(rows.groupBy(key.alias("key")).agg(F.min("doc_id").alias("id"), F.first("text").alias("text")), "near-texts")
+
+    place = Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_last())
+    ranked = copies.withColumns({"at": F.row_number().over(place), "near_id": F.first("doc_id").over(place)})
+    equal = ranked.where("at > 1").select("doc_id", "near_id", F.lit(0).cast("bigint").alias("edits"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, bands = [], [], []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                found = near_sketch.bands(text, most_edits)
+                keys += [key] * len(found)
+                sizes += [len(text)] * len(found)
+                bands.append(found)
+            found = np.concatenate(bands) if bands else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.int64())],
+                names=["key", "n", "band"],
+            )
+
+    bands = materialised(classes.select("key", "text").mapInArrow(sketch, "key binary, n long, band long"), "near-bands")
+    other = bands.select(F.col("key").alias("near_key"), F.col("n").alias("m"), "band")
     pairs = (
-        rows.join(groups.where("n > 1"), ["band", "bits"])
-        .where("doc_id != near_id")
-        .select("doc_id", "near_id")
+        bands.join(other, "band")
+        .where((F.col("key") > F.col("near_key")) & (F.abs(F.col("n") - F.col("m")) <= most_edits * F.greatest("n", "m") + 1e-9))
+        .select("key", "near_key")
         .distinct()
     )
-    texts = marked.select("doc_id", "text")
-    both = pairs.join(texts, "doc_id").join(
-        texts.select(F.col("doc_id").alias("near_id"), F.col("text").alias("near_text")), "near_id"
-    )
+    near = classes.select(F.col("key").alias("near_key"), F.col("id").alias("near_id"), F.col("text").alias("near_text"))
+    both = pairs.join(classes.withColumnRenamed("id", "doc_id"), "key").join(near, "near_key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for row in batch.to_pylist():
+            for row in batch.select(["doc_id", "near_id", "text", "near_text"]).to_pylist():
+                most = int(most_edits * max(len(row["text"]), len(row["near_text"])) + 1e-9)
+                if not near_sketch.may_be_near(row["text"], row["near_text"], most):
+                    continue
                 edits = edit_embedding.edit_distance(row["text"], row["near_text"])
-                if edits <= most_edits * max(len(row["text"]), len(row["near_text"])):
-                    found.append((row["doc_id"], row["near_id"], edits))
+                if edits <= most:
+                    a, b = row["doc_id"], row["near_id"]
+                    if b is None or (a is not None and a < b):
+                        a, b = b, a
+                    found.append((a, b, edits))
             columns = list(zip(*found)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "near_id", "edits"]
             )
 
-    return both.mapInArrow(verify, "doc_id long, near_id long, edits long")
+    return equal.unionByName(both.mapInArrow(verify, "doc_id long, near_id long, edits long"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

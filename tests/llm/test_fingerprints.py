@@ -144,3 +144,33 @@ def test_odd_rows(odd_docs, no_docs):
     assert P.compared(no_docs).count() == 0
     assert P.fingerprinted(odd_docs.withColumn("fingerprint", F.lit(0))).count() == odd_docs.count()
     assert P.near_duplicates(no_docs).count() == 0
+
+
+def edited(rng, text, share):
+    """The text after scattered edits of single characters, a third of each kind."""
+    out = list(text)
+    for at in rng.sample(range(len(out)), int(share * len(out))):
+        out[at] = rng.choice(("", "#", out[at] + "#"))
+    return "".join(out)
+
+
+def test_recall_over_rates_and_lengths(spark):
+    """Of the pairs that brute force finds, nine in ten at each rate and length."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    docs, planted = [], {}
+    for length in (30, 59, 61, 200, 2000, 8000):
+        for rate in (0.01, 0.02, 0.04, 0.08, 0.095):
+            for _ in range(30 if length < 8000 else 10):
+                text = " ".join(rng.choice(words) for _ in range(length))[:length]
+                copy = edited(rng, text, rate)
+                edits = E.edit_distance(text, copy)
+                docs += [(len(docs), text), (len(docs) + 1, copy)]
+                if edits <= 0.1 * max(len(text), len(copy)):
+                    planted.setdefault((length, rate), []).append((docs[-1][0], docs[-2][0], edits))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {tuple(r) for r in P.near_duplicates(frame).collect()}
+    for (length, rate), pairs in planted.items():
+        hits = sum(p in found for p in pairs)
+        print(length, rate, hits, len(pairs))
+        assert hits >= 0.9 * len(pairs), (length, rate, hits, len(pairs))
