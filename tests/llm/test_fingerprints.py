@@ -174,3 +174,27 @@ def test_recall_over_rates_and_lengths(spark):
         hits = sum(p in found for p in pairs)
         print(length, rate, hits, len(pairs))
         assert hits >= 0.9 * len(pairs), (length, rate, hits, len(pairs))
+
+
+def test_members_of_a_group_are_compared_with_each_other(spark):
+    """Texts that share a passage, of which the smallest id is near none of the others; rows without an id."""
+    rng = random.Random(13)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = some(1500)
+    docs = [(0, passage + some(500))]
+    for k in range(1, 9):
+        text = passage + some(500)
+        docs += [(10 * k, text), (10 * k + 1, edited(rng, text, 0.005))]
+    docs += [(None, docs[1][1]), (None, edited(rng, docs[1][1], 0.005))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {tuple(r) for r in P.near_duplicates(frame).collect()}
+    first = {}
+    for a, x in docs:
+        first.setdefault(x, a)
+    expected = {(None, 10, 0)}
+    for x, a in first.items():
+        for y, b in first.items():
+            edits = E.edit_distance(x, y)
+            if (b is None, b or 0) < (a is None, a or 0) and edits <= 0.1 * max(len(x), len(y)):
+                expected.add((a, b, edits))
+    assert found == expected and any(a is None for a, *_ in found)
