@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from relaymill.llm.fingerprints import op10_fingerprints
 from relaymill.llm.language_id import op6_language_id
 from relaymill.llm.licence_scan import op2_licence_scan
+from relaymill.llm.merkle import op12_merkle
+from relaymill.llm.mixing import op11_mixing
 from relaymill.llm.ngram_jaccard import op1_ngram_jaccard
 from relaymill.llm.packing import op9_packing
 from relaymill.llm.quality_classifier import op3_quality_classifier
@@ -33,4 +35,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_packing": op9_packing,
         "op10_fingerprints": op10_fingerprints,
+        "op11_mixing": op11_mixing,
+        "op12_merkle": op12_merkle,
     }

@@ -75,5 +75,93 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""
 
 
+# The level is the one at which all sources together, each filled up to twice its size, hold the budget;
+# a source is full if the budget suffices to fill all up to where it is full. The queues are
+# merged by finish time and the budget runs out at `floor(total)`.
+_MIXING = f"""WITH d AS (
+  SELECT doc_id, source, CAST(len({_WORDS.format(text="coalesce(text, '')")}) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || md5(coalesce(text, ''))) AS drawn
+  FROM documents), s AS (
+  SELECT *, 2.0::DOUBLE * source_size / weight AS full_at FROM (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+           CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+    FROM d GROUP BY source)), b AS (
+  SELECT 1.5::DOUBLE * CAST(sum(size) AS BIGINT) AS total FROM d), f AS (
+  SELECT a.source, sum(least(2.0::DOUBLE * o.source_size, a.full_at * o.weight)) < (SELECT total FROM b) AS is_full
+  FROM s a, s o GROUP BY a.source), l AS (
+  SELECT ((SELECT total FROM b) - coalesce(sum(2.0::DOUBLE * source_size) FILTER (is_full), 0))
+           / sum(weight) FILTER (NOT is_full) AS level
+  FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source), t AS (
+  SELECT source, source_size, weight, least(2.0::DOUBLE * source_size, level * weight) AS target FROM s, l), q AS (
+  SELECT d.*, source_size, weight, target, round,
+         round * source_size + coalesce(sum(size) OVER (
+           PARTITION BY d.source, round ORDER BY drawn, doc_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) r(round)), w AS (
+  SELECT *, CAST(greatest(0, least(size, ceil(target - ahead))) AS BIGINT) AS words FROM q), p AS (
+  SELECT *, coalesce(sum(words) OVER (
+           ORDER BY CAST(ahead + words AS DOUBLE) / weight, source NULLS LAST, drawn, doc_id, round
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM w WHERE words > 0)
+SELECT d.doc_id, d.size, t.source_size, t.target,
+       CAST(coalesce(sum(greatest(0, least(words, floor(total) - place))), 0) AS BIGINT) AS taken
+FROM b, d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY ALL"""
+
+_CRC = """CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({bytes}, lambda x: x::BIGINT)),
+  lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda v, _: xor(v >> 1, (v & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) AS BIGINT)"""
+# Checksum of a decimal number: the bits of each digit's code pushed through one by one.
+_CRC_OF_ID = _CRC.format(bytes="list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c))")
+
+
+def _cells(n_chars: str) -> str:
+    def cell(value: str) -> str:
+        text = f"CAST({value} AS VARCHAR)"
+        return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+    return f"sha256({' || '.join(map(cell, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+# Both trees level by level; a node's siblings are found by its number at every level.
+_MERKLE = f"""WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos FROM (
+    SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_cells("n_chars")} AS leaf,
+           CASE WHEN {_CRC_OF_ID} % 7 = 0 THEN {_cells("n_chars + 1")} END AS altered
+    FROM documents)), lower_levels(tree, level, pos, h, n) AS (
+  SELECT tree, 0, pos, leaf, count(*) OVER (PARTITION BY tree) FROM d
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2
+  FROM lower_levels WHERE n > 1 GROUP BY tree, level, pos // 2), tops AS (
+  SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos FROM lower_levels WHERE n = 1), upper_levels(level, pos, h, n) AS (
+  SELECT 0, pos, h, count(*) OVER () FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2
+  FROM upper_levels WHERE n > 1 GROUP BY level, pos // 2), lower_ways AS (
+  SELECT d.tree, d.pos, list(struct_pack(h := coalesce(s.h, ''), l := (d.pos >> l.level) % 2 = 1) ORDER BY l.level) AS way
+  FROM d JOIN (SELECT DISTINCT tree, level FROM lower_levels WHERE n > 1) l USING (tree)
+  LEFT JOIN lower_levels s ON s.tree = d.tree AND s.level = l.level AND s.pos = xor(d.pos >> l.level, 1) GROUP BY ALL), upper_ways AS (
+  SELECT t.tree, list(struct_pack(h := coalesce(s.h, ''), l := (t.pos >> l.level) % 2 = 1) ORDER BY l.level) AS way
+  FROM tops t, (SELECT DISTINCT level FROM upper_levels WHERE n > 1) l
+  LEFT JOIN upper_levels s ON s.level = l.level AND s.pos = xor(t.pos >> l.level, 1) GROUP BY ALL), p AS (
+  SELECT d.doc_id, d.leaf, t.h AS subroot, (SELECT h FROM upper_levels WHERE n = 1) AS root,
+         coalesce(altered, leaf) AS start, list_concat(coalesce(a.way, []), coalesce(b.way, [])) AS way
+  FROM d JOIN tops t USING (tree) LEFT JOIN lower_ways a ON a.tree = d.tree AND a.pos = d.pos
+  LEFT JOIN upper_ways b ON b.tree = d.tree), climb(doc_id, step, h) AS (
+  SELECT doc_id, 1, start FROM p
+  UNION ALL
+  SELECT doc_id, step + 1, sha256(CASE WHEN way[step].l THEN way[step].h || c.h ELSE c.h || way[step].h END)
+  FROM climb c JOIN p USING (doc_id) WHERE step <= len(way)), folded AS (
+  SELECT doc_id, arg_max(h, step) AS h FROM climb GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(way, lambda s: s.h), ''), '')) AS proof_sha256,
+       h AS folded_root, h = root AS verified
+FROM p JOIN folded USING (doc_id)"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_ngram_jaccard": _JACCARD, "op7_quality_rules": _QUALITY}
+    return {
+        "op1_ngram_jaccard": _JACCARD,
+        "op7_quality_rules": _QUALITY,
+        "op11_mixing": _MIXING,
+        "op12_merkle": _MERKLE,
+    }

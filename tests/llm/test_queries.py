@@ -12,14 +12,15 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 13)] == [1] * 12
     assert "pipeline" in names and set(statements()) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(statements()))
 def test_query_equals_sql(spark, name):
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name_ in ("documents", "conversations"):
+        connection.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{SF}/{name_}.parquet'")
     answer = connection.execute(statements()[name])
     columns = [c[0] for c in answer.description]
     result = queries()[name](spark, SF)
