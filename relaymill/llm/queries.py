@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from relaymill.llm.conversation_repair import op13_conversation_repair
 from relaymill.llm.fingerprints import op10_fingerprints
 from relaymill.llm.language_id import op6_language_id
 from relaymill.llm.licence_scan import op2_licence_scan
@@ -37,4 +38,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_fingerprints": op10_fingerprints,
         "op11_mixing": op11_mixing,
         "op12_merkle": op12_merkle,
+        "op13_conversation_repair": op13_conversation_repair,
     }

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 13)] == [1] * 12
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(statements()) <= set(entry.oracle_sql())
 
 
