@@ -23,6 +23,42 @@ def enclosed(text: Column) -> Column:
     return F.concat(F.lit("[["), text, F.lit("]]"))
 
 
+# Raw control characters cannot occur in JSON, so these two may stand for what is escaped.
+_ESCAPED = (("\\\\", "\x01"), ('\\"', "\x02"))
+# Fixed value: the numbers that some writers put down as bare words. They are no keys.
+_BARE_WORD = r"(?<![A-Za-z0-9_.+-])(-?Infinity|NaN)(?![A-Za-z0-9_.]|\s*:)"
+
+
+def marked(text: Column) -> Column:
+    """The text with marks for escaped backslashes and quotes: what quotes are left are those
+    around strings."""
+    for escaped, mark in _ESCAPED:
+        text = F.replace(text, F.lit(escaped), F.lit(mark))
+    return text
+
+
+def unmarked(text: Column) -> Column:
+    for escaped, mark in reversed(_ESCAPED):
+        text = F.replace(text, F.lit(mark), F.lit(escaped))
+    return text
+
+
+def quoted_bare_words(text: Column) -> Column:
+    """The text with bare NaN, Infinity and -Infinity, which JSON has not, as strings.
+
+    What stands in strings stays: the text is cut at the quotes that are not escaped, and every
+    second piece lies between strings. Texts without such a word are not looked into.
+    """
+    pieces = F.transform(
+        F.split(marked(text), '"'),
+        lambda piece, i: F.when(i % 2 == 0, F.regexp_replace(piece, _BARE_WORD, '"$1"')).otherwise(piece),
+    )
+    joined = unmarked(F.array_join(pieces, '"'))
+    has_marks = text.contains("\x01") | text.contains("\x02")
+    rare = (text.contains("NaN") | text.contains("Infinity")) & ~has_marks
+    return F.when(rare, joined).otherwise(text)
+
+
 def with_json(rows: DataFrame, text: str, into: str) -> DataFrame:
     """Add the parsed form of a text that is exactly one JSON document, else NULL.
 

@@ -135,7 +135,7 @@ def upsert_state(rows: DataFrame, collation: str | None = None) -> DataFrame:
     most one row per id and task, so an id with very many deliveries costs no more than any
     other. Only columns present in ``rows`` take part: select fewer of them to move less.
 
-    ``collation`` compares ids under that collation instead of byte by byte.
+    ``collation`` compares ids as that collation does instead of byte by byte.
     """
     kept = [c for c in KEPT if c in rows.columns]
     overwritten = [c for c in OVERWRITTEN if c in rows.columns]
@@ -146,8 +146,22 @@ def upsert_state(rows: DataFrame, collation: str | None = None) -> DataFrame:
     )
 
 
+def normal_key(message_id: Column, collation: str | None) -> Column:
+    """A text that is equal for ids which are equal under the collation.
+
+    Plain text can be a key of state and of buckets, which Spark refuses to collated text.
+    """
+    if collation is None:
+        return message_id
+    rules = set(collation.upper().split("_"))
+    if "AI" in rules:
+        raise ValueError(f"{collation} compares without accents, which no function of Spark removes")
+    key = F.rtrim(message_id) if "RTRIM" in rules else message_id
+    return F.lower(F.upper(key)) if rules & {"CI", "LCASE"} else key
+
+
 def _key(collation: str | None) -> Column:
-    return F.col("message_id") if collation is None else F.collate("message_id", collation)
+    return normal_key(F.col("message_id"), collation)
 
 
 def merge_states(states: DataFrame) -> DataFrame:

@@ -10,15 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaymill.functions import audit
-from relaymill.operators import ingest, inspect, messages as M, persist
+from relaymill.operators import ingest, inspect, messages as M, persist, replicas
 from relaymill.plans import fixtures, flows
 from relaymill.schema import AUDIT_KEYS, HANDLERS, LAST_STAGE, ROUTES, next_queue
 from relaymill.session import configure, work_dir
 from relaymill.sources import queues, table as T
+from relaymill.sources.bucketed import BucketedTable
 from relaymill.sources.requests import stream_requests
 from relaymill.streaming import flow as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
+# Fixed value: how the declared table compares its keys.
+COLLATION = "UNICODE_CI_RTRIM"
 
 
 def _clock() -> Column:
@@ -61,6 +64,16 @@ def ingest_flow2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ingest_odd_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with bare words and other digits: their outcomes, what the messages hold and
+    what the table says to them."""
+    requests = fixtures.odd_requests(spark, sf_dir)
+    codes = ingest.outcomes(requests).select("seq", "status_code")
+    made = flows.finish(ingest.direct_messages(requests), None, _clock())
+    shown = made.select("seq", "item_id", "counter_value", "metric_value", "initial_data", "reject_reason")
+    return codes.join(shown, "seq", "left")
+
+
 def batch_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ingest.batch_messages(fixtures.batch_requests(spark, sf_dir))
     return made.select(
@@ -203,6 +216,19 @@ def extra_fields_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of documents after stages 2 and 3, changed in place."""
+
+    def texts(flow: int) -> DataFrame:
+        records = fixtures.ordered_records(spark, sf_dir, flow)
+        for queue in ROUTES[flow][:-1]:
+            records = flows.forward(records, queue, _clock(), in_order=True)
+            records = M.accepted(records).select("seq", "position", "clock", "body")
+        return records.select("seq", "body")
+
+    return texts(1).unionByName(texts(2))
+
+
 def missing_vs_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stage 2 makes of an absent, a null and a given number."""
 
@@ -338,6 +364,31 @@ def table_recompacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(table.scan())
 
 
+def _bucketed(spark: SparkSession, collation: str | None = None) -> BucketedTable:
+    root = _run_root(spark, "bucketed")
+    database = "relaymill_" + root[-36:].replace("-", "_")
+    return BucketedTable(spark, f"{database}.processed_messages", root, collation=collation)
+
+
+def upsert_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base of the first deliveries, merged bucket by bucket with the second ones."""
+    table = _bucketed(spark)
+    table.upsert(M.accepted(_rows(spark, sf_dir)))
+    table.merge()
+    table.upsert(M.accepted(_again(spark, sf_dir)))
+    return _shown(table.scan())
+
+
+def upsert_collated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a key that ignores case and trailing spaces: some of the second
+    deliveries spell their ids otherwise, and a base is made of both."""
+    table = _bucketed(spark, COLLATION)
+    table.upsert(M.accepted(_rows(spark, sf_dir)))
+    table.upsert(fixtures.respelled(M.accepted(_again(spark, sf_dir))))
+    table.merge()
+    return _shown(table.scan())
+
+
 def _end_to_end(spark: SparkSession, sf_dir: str, flow: int) -> DataFrame:
     made = ingest.direct_messages(fixtures.requests(spark, sf_dir), flows=(flow,))
     rows = flows.finish(made, flow, _clock())
@@ -380,6 +431,19 @@ def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_scan(spark, sf_dir))
 
 
+def table_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared table in the catalog: it shows a first snapshot, then the second one."""
+    root = _run_root(spark, "declared")
+    name = "relaymill_" + root[-36:].replace("-", "_") + ".processed_messages"
+    table = T.ProcessedTable(spark, root)
+    T.create_table(spark, name)
+    for source, rows in (("first", _rows(spark, sf_dir)), ("again", _again(spark, sf_dir))):
+        table.deliver(rows, source, 0)
+        table.compact()
+        table.publish_as(name)
+    return _shown(spark.table(name))
+
+
 def latest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.latest(_scan(spark, sf_dir), 10).withColumn("created_at", _wall())
 
@@ -442,6 +506,17 @@ def replica_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.compare_copies({"left": rows, "right": fixtures.changed_copy(rows)})
 
 
+def replica_digest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored digests of the copies; rows move in unequal ranges only."""
+    rows = _scan(spark, sf_dir)
+    copies = {"left": rows, "right": fixtures.changed_copy(rows)}
+    root, stored = _run_root(spark, "digests"), {}
+    for name, copy in copies.items():
+        replicas.digests(copy).write.parquet(f"{root}/{name}")
+        stored[name] = spark.read.parquet(f"{root}/{name}")
+    return replicas.compare_by_digests(copies, found=stored)
+
+
 def replica_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest rows of three copies, two of them alike."""
     rows = _scan(spark, sf_dir)
@@ -469,6 +544,32 @@ def stream_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(done.current())
 
 
+def stream_competing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three consumers on each of the last queues, into one log. Of the second half of the
+    documents two take their parts while the third is stopped; it resumes after them."""
+    root, consumers = _run_root(spark, "competing"), 3
+    table = T.ProcessedTable(spark, root)
+    ready = {}
+    for flow, route in ROUTES.items():
+        waiting = fixtures.records(spark, sf_dir, flow)
+        for queue in route[:-1]:
+            waiting = M.accepted(flows.forward(waiting, queue, _clock()))
+        ready[route[-1]] = waiting.select("seq", "position", "clock", "body")
+    for half, working in ((0, (0, 1, 2)), (1, (0, 1)), (None, (2,))):
+        for queue, waiting in ready.items():
+            if half is not None:
+                part = waiting.where(F.col("seq") % 2 == half)
+                queues.publish(part.repartition(4 * consumers, "seq"), root, queue)
+        running = [
+            streaming.start_persist(spark, root, queue, _clock(), share=(k, consumers))
+            for queue in ready
+            for k in working
+        ]
+        for query in running:
+            query.awaitTermination()
+    return _shown(table.current())
+
+
 def stream_ingest_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All requests as files, judged once, through six handlers into the table."""
     root = _run_root(spark, "requests")
@@ -517,14 +618,23 @@ def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries, then redeliveries, through the stateful upsert: it is stopped after the
     first and resumes from its checkpoint for the second."""
+    return _upserted(spark, [M.accepted(_rows(spark, sf_dir)), M.accepted(_again(spark, sf_dir))])
+
+
+def stream_upsert_collated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with respelled ids and a state whose key ignores case and trailing spaces."""
+    again = fixtures.respelled(M.accepted(_again(spark, sf_dir)))
+    return _upserted(spark, [M.accepted(_rows(spark, sf_dir)), again], COLLATION)
+
+
+def _upserted(spark: SparkSession, parts: list[DataFrame], collation: str | None = None) -> DataFrame:
     root = _run_root(spark, "upsert")
     columns = [f for f in T.DELIVERY.fields if f.name in ("seq", *_delivered())]
     layout = ",".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
-    for part in (_rows(spark, sf_dir), _again(spark, sf_dir)):
-        arrived = M.accepted(part).select(*[f.name for f in columns])
-        arrived.write.mode("append").parquet(f"{root}/deliveries")
+    for part in parts:
+        part.select(*[f.name for f in columns]).write.mode("append").parquet(f"{root}/deliveries")
         arriving = spark.readStream.schema(layout).parquet(f"{root}/deliveries")
-        streaming.start_upsert(arriving, root).awaitTermination()
+        streaming.start_upsert(arriving, root, collation=collation).awaitTermination()
     return _shown(streaming.upserted(spark, root))
 
 
@@ -538,6 +648,7 @@ QUERIES: dict[str, Query] = {
         request_outcome,
         ingest_flow1,
         ingest_flow2,
+        ingest_odd_numbers,
         batch_outcome,
         batch_generate,
         batch_large,
@@ -548,16 +659,20 @@ QUERIES: dict[str, Query] = {
         flow1_acknowledge,
         flow2_seal,
         extra_fields_kept,
+        documents_in_order,
         missing_vs_null,
         rejected_messages,
         persist_projection,
         upsert_latest,
+        upsert_bucketed,
+        upsert_collated,
         redelivered_same_seq,
         table_current,
         table_recompacted,
         end_to_end_flow1,
         end_to_end_flow2,
         table_scan,
+        table_declared,
         latest_n,
         latest_flow1,
         latest_flow2,
@@ -569,12 +684,15 @@ QUERIES: dict[str, Query] = {
         audit_steps,
         audit_pretty,
         replica_diff,
+        replica_digest_diff,
         replica_latest,
         stream_end_to_end,
+        stream_competing,
         stream_ingest_end_to_end,
         stream_json_queues,
         stream_rejected,
         stream_upsert,
+        stream_upsert_collated,
     )
 }
 

@@ -80,6 +80,25 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("seq", path.alias("path"), body.alias("body"), F.col("clock").alias("received_at"))
 
 
+def odd_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with numbers as bare words and in digits of other scripts."""
+    e = events(spark, sf_dir)
+    item = F.translate(F.col("seq").cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")
+    number = (
+        F.when(_divides(11), F.lit("NaN"))
+        .when(_divides(7), F.lit("-Infinity"))
+        .when(_divides(5), F.concat(F.lit('"'), F.translate(F.col("k").cast("string"), "0123456789", "０１２３４５６７８９"), F.lit('"')))
+        .otherwise(F.col("k").cast("string"))
+    )
+    body = F.concat(
+        F.lit('{"initial_data": "NaN, \\"Infinity\\" and \\\\", "item_id": "'), item, F.lit('", "counter": '),
+        F.when(F.col("flow") == 1, number).otherwise(F.lit("1")), F.lit(', "value": '),
+        F.when(F.col("flow") == 2, number).otherwise(F.lit("1.5")), F.lit("}"),
+    )
+    path = F.when(F.col("flow") == 1, F.lit(PATH_FLOW1)).otherwise(F.lit(PATH_FLOW2))
+    return e.select("seq", path.alias("path"), body.alias("body"), F.col("clock").alias("received_at"))
+
+
 def batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch request per event; the count comes from the event's ``k``."""
     e = events(spark, sf_dir)
@@ -141,6 +160,23 @@ def records(spark: SparkSession, sf_dir: str, flow: int) -> DataFrame:
     return M.encode(messages(spark, sf_dir, flow)).select("seq", "position", "clock", "body")
 
 
+def ordered_records(spark: SparkSession, sf_dir: str, flow: int) -> DataFrame:
+    """Documents with members in an order and a spelling of their own, look-alikes of the touched
+    ones in strings and nested objects; some without a number or with an empty trail."""
+    e = events(spark, sf_dir).where(F.col("flow") == flow)
+    key, number = ("counter", F.col("k")) if flow == 1 else ("value", F.col("v"))
+    trail = F.when(_divides(3), F.lit("[ ]")).otherwise(F.to_json(audit.started(F.col("clock"))))
+    body = F.concat(
+        F.lit('{ "tag" : {"b":[1, 2.50 ,"counter"], "value": {"history":[]}, "a":"x\\"counter\\":\\\\"} , "history":'),
+        trail,
+        F.when(_divides(5), F.lit("")).otherwise(F.concat(F.lit(f',  "{key}":\t'), number.cast("string"), F.lit(" "))),
+        F.lit(',"\u00e9":"\\u00e9\\/", "flow":'), F.col("flow").cast("string"),
+        F.lit(',"message_id":"'), message_id(F.col("seq")), F.lit('","item_id": '), F.col("seq").cast("string"),
+        F.lit(', "zero":1.500E+2 }'),
+    )
+    return e.select("seq", F.lit(0).cast("bigint").alias("position"), "clock", body.alias("body"))
+
+
 def faulty_records(spark: SparkSession, sf_dir: str, flow: int) -> DataFrame:
     """Documents for a stage-2 queue, some of which break a rule of some stage."""
     e = events(spark, sf_dir).where(F.col("flow") == flow)
@@ -193,6 +229,12 @@ def redelivered(messages_: DataFrame) -> DataFrame:
     )
 
 
+def respelled(rows: DataFrame) -> DataFrame:
+    """Table rows of which every second one has its id in capitals, with spaces behind it."""
+    other = F.concat(F.upper("message_id"), F.lit("  "))
+    return rows.withColumn("message_id", F.when(_divides(20), other).otherwise(F.col("message_id")))
+
+
 def clear_numbers(rows: DataFrame) -> DataFrame:
     """Redelivered table rows with counter and metric NULL for every thirtieth message."""
     again = (F.col("seq") >= REDELIVERY_OFFSET) & (

@@ -16,9 +16,12 @@ def handle(records: DataFrame, queue: str, clock: Column | None = None) -> DataF
     return STAGES[flow, stage](M.decode(records, stage), clock)
 
 
-def forward(records: DataFrame, queue: str, clock: Column | None = None) -> DataFrame:
-    """The same as records for the next queue (one hop of a flow)."""
-    return M.encode(handle(records, queue, clock))
+def forward(
+    records: DataFrame, queue: str, clock: Column | None = None, in_order: bool = False
+) -> DataFrame:
+    """The same as records for the next queue (one hop of a flow). ``in_order`` keeps the
+    order and spelling of the documents."""
+    return M.encode(handle(records, queue, clock), in_order)
 
 
 def advance(

@@ -18,8 +18,8 @@ def _entry(stage: str, clock: str, *rest: tuple[str, str]) -> str:
     return " || ".join([*members, "'}'"])
 
 
-def _trail(flow: int, steps: int, clock: str = "clock", start: str = "clock") -> str:
-    """JSON text of the first ``steps`` audit entries of a flow."""
+def _entries(flow: int, clock: str = "clock", start: str = "clock") -> list[str]:
+    """JSON texts of the audit entries of a flow, one for each stage."""
     created = _entry(
         "process1_created", start, ("status", "'prepared'"), ("source", "'rest_api'")
     )
@@ -53,8 +53,12 @@ def _trail(flow: int, steps: int, clock: str = "clock", start: str = "clock") ->
                 ("modification", "'Added verification seal and marked completed'"),
             ),
         ]
-    entries = [created, *middle, saved][:steps]
-    return "'[' || " + " || ',' || ".join(entries) + " || ']'"
+    return [created, *middle, saved]
+
+
+def _trail(flow: int, steps: int, clock: str = "clock", start: str = "clock") -> str:
+    """JSON text of the first ``steps`` audit entries of a flow."""
+    return "'[' || " + " || ',' || ".join(_entries(flow, clock, start)[:steps]) + " || ']'"
 
 
 _SCALED = "CAST(format('{:.2f}', v * 1.15) AS DOUBLE)"
@@ -175,6 +179,20 @@ _SUMMARY = (
 _COMPARED = "id, message_id, flow_id, item_id, counter_value, metric_value"
 
 
+_DIFF = f"""{_P}, q AS (
+    SELECT id, message_id, flow_id, item_id,
+           CASE WHEN id % 700 = 1 AND flow_id = 1 THEN counter_value + 1
+        ELSE counter_value END AS counter_value,
+           CASE WHEN id % 700 = 1 AND flow_id = 2 THEN CAST(metric_value + 1 AS DECIMAL(10,2))
+        ELSE metric_value END AS metric_value
+    FROM p WHERE id % 500 <> 0)
+  SELECT *, CAST(1 AS BIGINT) AS in_left, CAST(0 AS BIGINT) AS in_right
+  FROM (SELECT {_COMPARED} FROM p EXCEPT ALL SELECT * FROM q)
+  UNION ALL
+  SELECT *, CAST(0 AS BIGINT), CAST(1 AS BIGINT)
+  FROM (SELECT * FROM q EXCEPT ALL SELECT {_COMPARED} FROM p)"""
+
+
 def _end_to_end(flow: int) -> str:
     return (
         f"WITH {_REQUESTS}, z AS ({_saved('made')}) "
@@ -195,6 +213,26 @@ def _rejects() -> str:
       FROM x WHERE fault IN (61, 59, 47, 43, 37, 31, 29, 23)"""
 
 
+def _in_order(flow: int) -> str:
+    """Texts of ordered documents after stages 2 and 3."""
+    key, number, zero = ("counter", "k + 10", "10") if flow == 1 else ("value", _SCALED, "0.0")
+    first, *later = _entries(flow)[:3]
+    grown = " || ',' || ".join(later)
+    scored = "CASE WHEN seq % 5 = 0 THEN 0.0 ELSE v END"
+    grown = grown.replace(_STATUS, f"CASE WHEN {scored} > 30.0 THEN 'HIGH' ELSE 'NORMAL' END")
+    status = f"""',"examined_status":"' || CASE WHEN {scored} > 30.0 THEN 'HIGH' ELSE 'NORMAL' END || '"'"""
+    absent = f"""CASE WHEN seq % 5 = 0 THEN ',"{key}":{zero}' ELSE '' END"""
+    behind = f"{absent} || ',\"process2_flow1_reflected\":true,\"process3_acknowledged\":true'" if flow == 1 else (
+        f"{status} || {absent} || ',\"verified_by\":\"process3\",\"completed\":true'"
+    )
+    return f"""SELECT seq, '{{ "tag" : {{"b":[1, 2.50 ,"counter"], "value": {{"history":[]}}, "a":"x\\"counter\\":\\\\"}} , "history":'
+             || CASE WHEN seq % 3 = 0 THEN '[ ' ELSE '[' || {first} || ',' END || {grown} || ']'
+             || CASE WHEN seq % 5 = 0 THEN '' ELSE ',  "{key}":' || chr(9) || CAST({number} AS VARCHAR) || ' ' END
+             || ',"\u00e9":"\\u00e9\\/", "flow":{flow},"message_id":"' || message_id || '","item_id": ' || seq
+             || ', "zero":1.500E+2' || {behind} || '}}' AS body
+      FROM w WHERE flow = {flow}"""
+
+
 def _latest_of(flow: int) -> str:
     columns = {
         1: "message_id, initial_data, counter_value",
@@ -226,6 +264,16 @@ def statements() -> dict[str, str]:
         "ingest_flow2": f"""WITH {_REQUESTS}
           SELECT seq, flow, message_id, item_id, initial_data, v AS value,
                  {_trail(2, 1)} AS history FROM made WHERE flow = 2""",
+        "ingest_odd_numbers": f"""WITH {_E}, o AS (
+            SELECT seq, flow, k, CASE WHEN seq % 11 = 0 THEN 'bare' WHEN seq % 7 = 0 THEN 'bare' ELSE 'number' END AS given
+            FROM e)
+          SELECT seq, CAST(CASE WHEN flow = 1 AND given = 'bare' THEN 500 ELSE 200 END AS INTEGER) AS status_code,
+                 CASE WHEN flow = 2 OR given = 'number' THEN CAST(seq AS INTEGER) END AS item_id,
+                 CASE WHEN flow = 1 AND given = 'number' THEN CAST(k + 10 AS INTEGER) END AS counter_value,
+                 CASE WHEN flow = 2 AND given = 'number' THEN CAST(format('{{:.2f}}', k * 1.15::DOUBLE) AS DECIMAL(10,2)) END AS metric_value,
+                 CASE WHEN flow = 2 OR given = 'number' THEN 'NaN, "Infinity" and \\' END AS initial_data,
+                 CASE WHEN flow = 2 AND given = 'bare' THEN 'value_unusable' END AS reject_reason
+          FROM o""",
         "batch_outcome": f"""WITH {_BATCHES}
           SELECT seq, CASE WHEN n IS NULL THEN 500 ELSE 200 END AS status_code,
                  CAST(CASE WHEN n > 0 THEN 2 * n ELSE 0 END AS BIGINT) AS messages FROM b""",
@@ -270,6 +318,7 @@ def statements() -> dict[str, str]:
                  CAST(CASE flow WHEN 1 THEN 8 ELSE 9 END
                       + CASE WHEN fault = 41 THEN 1 ELSE 0 END AS INTEGER) AS keys
           FROM x WHERE fault IN (0, 41, 53)""",
+        "documents_in_order": f"WITH {_MESSAGES} {_in_order(1)} UNION ALL {_in_order(2)}",
         "missing_vs_null": f"""WITH {_FAULTS}
           SELECT seq, flow,
                  CASE fault WHEN 59 THEN 'null' WHEN 53 THEN 'absent' ELSE 'given' END AS received,
@@ -290,12 +339,15 @@ def statements() -> dict[str, str]:
                  CAST(coalesce(counter_value, metric_value) AS DOUBLE) AS number
           FROM s""",
         "upsert_latest": table,
+        "upsert_bucketed": table,
+        "upsert_collated": table,
         "table_current": table,
         "table_recompacted": table,
         "redelivered_same_seq": table,
         "end_to_end_flow1": _end_to_end(1),
         "end_to_end_flow2": _end_to_end(2),
         "table_scan": table,
+        "table_declared": table,
         "latest_n": f"{_P} SELECT {_SUMMARY} FROM p ORDER BY id DESC LIMIT 10",
         "latest_flow1": _latest_of(1),
         "latest_flow2": _latest_of(2),
@@ -318,18 +370,8 @@ def statements() -> dict[str, str]:
           SELECT *, '[' || stage || '] at ' || timestamp || ': ' || description AS line FROM l""",
         "audit_pretty": f"""{_P}
           SELECT message_id, history_trail AS audit_trail FROM p""",
-        "replica_diff": f"""{_P}, q AS (
-            SELECT id, message_id, flow_id, item_id,
-                   CASE WHEN id % 700 = 1 AND flow_id = 1 THEN counter_value + 1
-                        ELSE counter_value END AS counter_value,
-                   CASE WHEN id % 700 = 1 AND flow_id = 2 THEN CAST(metric_value + 1 AS DECIMAL(10,2))
-                        ELSE metric_value END AS metric_value
-            FROM p WHERE id % 500 <> 0)
-          SELECT *, CAST(1 AS BIGINT) AS in_left, CAST(0 AS BIGINT) AS in_right
-          FROM (SELECT {_COMPARED} FROM p EXCEPT ALL SELECT * FROM q)
-          UNION ALL
-          SELECT *, CAST(0 AS BIGINT), CAST(1 AS BIGINT)
-          FROM (SELECT * FROM q EXCEPT ALL SELECT {_COMPARED} FROM p)""",
+        "replica_diff": _DIFF,
+        "replica_digest_diff": _DIFF,
         "replica_latest": f"""{_P}, a AS (SELECT {_COMPARED} FROM p ORDER BY id DESC LIMIT 5),
           c AS (SELECT {_COMPARED} FROM p WHERE id % 3 <> 0 ORDER BY id DESC LIMIT 5)
           SELECT *, CAST(1 AS BIGINT) AS in_node1, CAST(1 AS BIGINT) AS in_node2,
@@ -338,6 +380,7 @@ def statements() -> dict[str, str]:
           SELECT *, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT)
           FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM a)""",
         "stream_end_to_end": f"WITH {_MESSAGES} SELECT seq AS id, * EXCLUDE (seq) FROM s",
+        "stream_competing": f"WITH {_MESSAGES} SELECT seq AS id, * EXCLUDE (seq) FROM s",
         "stream_ingest_end_to_end": f"""WITH {_ALL}, z AS ({_saved("every", ", position")})
           SELECT seq AS id, * EXCLUDE (seq) FROM z""",
         "stream_json_queues": f"""WITH {_MESSAGES}
@@ -345,4 +388,5 @@ def statements() -> dict[str, str]:
           FROM w WHERE flow = 1""",
         "stream_rejected": _rejects(),
         "stream_upsert": table,
+        "stream_upsert_collated": table,
     }

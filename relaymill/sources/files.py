@@ -42,3 +42,18 @@ def complete(spark: SparkSession, pattern: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> None:
     fs, target = _open(spark, path)
     fs.delete(target, True)
+
+
+def move(spark: SparkSession, path: str, target: str) -> None:
+    """Rename a folder, with the parents of its new name; what is there already is kept."""
+    fs, source = _open(spark, path)
+    to = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not fs.exists(to):
+        fs.mkdirs(to.getParent())
+        if not fs.rename(source, to):
+            raise OSError(f"cannot move {path} to {target}")
+
+
+def make(spark: SparkSession, path: str) -> None:
+    fs, target = _open(spark, path)
+    fs.mkdirs(target)

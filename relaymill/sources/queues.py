@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relaymill.schema import QUEUE_RECORD, handler_of
+from relaymill.sources import files
 
 ACCEPTED, REJECTED = "accepted", "rejected"
 # JSON files would otherwise cut the clock to milliseconds.
@@ -70,6 +71,19 @@ def publish_batch(records: DataFrame, root: str, queue: str, batch_id: int) -> N
     out.write.mode("overwrite").partitionBy("outcome").parquet(path)
 
 
+def open_queue(spark: SparkSession, root: str, queue: str, in_batches: bool = False) -> None:
+    """Make the folder of a queue, so that a consumer can wait for its first file. A queue that
+    ``publish_batch`` feeds has an empty batch, from which consumers know its folders."""
+    path = queue_path(root, queue)
+    if files.exists(spark, path):
+        return
+    if in_batches:
+        nothing = spark.createDataFrame([], QUEUE_FILE).drop("outcome").coalesce(1)
+        nothing.write.parquet(f"{path}/batch_id=-1/outcome={ACCEPTED}")
+    else:
+        files.make(spark, path)
+
+
 def consume(spark: SparkSession, root: str, queue: str, format: str = "parquet") -> DataFrame:
     """Records waiting in a queue."""
     found = _reader(spark.read, format).load(queue_path(root, queue))
@@ -92,13 +106,18 @@ def stream_queue(
     queue: str,
     max_files: int | None = None,
     format: str = "parquet",
+    share: tuple[int, int] | None = None,
 ) -> DataFrame:
     """A queue as a stream. ``max_files`` bounds what one micro-batch takes on, the
-    counterpart of a consumer's prefetch limit."""
+    counterpart of a consumer's prefetch limit. ``share`` (k, n) is the k-th of n parts of the
+    files, by a hash of their names; the other files are not opened."""
     reader = _reader(spark.readStream, format)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     found = reader.load(queue_path(root, queue))
+    if share is not None:
+        part = F.pmod(F.xxhash64("_metadata.file_name"), F.lit(share[1]))
+        found = found.where(part == share[0])
     return found.where(F.col("outcome") == ACCEPTED).select(*QUEUE_RECORD.names)
 
 

@@ -6,16 +6,18 @@ some batch of every source. A batch that is run again overwrites its own folder,
 upsert of the same delivery twice changes nothing, so redelivery at any point is safe.
 
     <root>/deliveries/source=<queue>/batch_id=<n>/outcome=accepted|rejected/
+    <root>/refused/...                        rejected rows of batches that were retired
     <root>/snapshots/version=<k>/covered/     (source, upto)
     <root>/snapshots/version=<k>/rows/        result rows + places of first and last delivery; written last
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relaymill.functions.interleave import boundaries, interleaved, part_of
 from relaymill.operators import persist
 from relaymill.schema import KEPT, OVERWRITTEN, PROCESSED
 from relaymill.sources import files
@@ -42,6 +44,10 @@ _SNAPSHOT = T.StructType(
 )
 
 
+# How finely snapshots are laid out by these columns, in bits: enough for some thousand files.
+_LAYOUT = {"flow_id": 1, "item_id": 6, "created_at": 6}
+
+
 def declared_columns() -> str:
     """The columns of the result table as a declaration."""
     return ", ".join(
@@ -63,23 +69,35 @@ def create_table(spark: SparkSession, name: str, location: str | None = None) ->
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({declared_columns()}) USING parquet{place}")
 
 
-def merge_into(spark: SparkSession, rows: DataFrame, table: str) -> None:
-    """Upsert one batch into a table whose format supports MERGE (Delta, Iceberg, ...).
+def merge_statement(table: str, source: str, collation: str | None = None) -> str:
+    """MERGE of a batch of table rows; under a collation ids match by their normal keys."""
+    rules = set((collation or "").upper().split("_"))
+
+    def key(side: str) -> str:
+        found = f"{side}.message_id"
+        found = f"rtrim({found})" if "RTRIM" in rules else found
+        return f"lower(upper({found}))" if rules & {"CI", "LCASE"} else found
 
-    The batch is reduced to one row per id first; across batches, arrival order is the
-    order in which they are merged. Not run here: no such format is installed.
-    """
-    persist.upsert(rows).createOrReplaceTempView("_relaymill_batch")
     update = ", ".join(f"{c} = s.{c}" for c in OVERWRITTEN)
     columns = ", ".join(PROCESSED.names)
     values = ", ".join(f"s.{c}" for c in PROCESSED.names)
-    spark.sql(
-        f"MERGE INTO {table} t USING _relaymill_batch s ON t.message_id = s.message_id "
+    return (
+        f"MERGE INTO {table} t USING {source} s ON {key('t')} = {key('s')} "
         f"WHEN MATCHED THEN UPDATE SET {update} "
         f"WHEN NOT MATCHED THEN INSERT ({columns}) VALUES ({values})"
     )
 
 
+def merge_into(spark: SparkSession, rows: DataFrame, table: str, collation: str | None = None) -> None:
+    """Upsert one batch into a table whose format supports MERGE (Delta, Iceberg, ...).
+
+    The batch is reduced to one row per id first; across batches, arrival order is the
+    order in which they are merged. Not run here: no such format is installed.
+    """
+    persist.upsert(rows, collation).createOrReplaceTempView("_relaymill_batch")
+    spark.sql(merge_statement(table, "_relaymill_batch", collation))
+
+
 class ProcessedTable:
     """Result table under a folder on the shared file system.
 
@@ -112,9 +130,9 @@ class ProcessedTable:
     def compact(self) -> int:
         """Write a new snapshot of every complete batch; returns its version.
 
-        Rows are ranged by (flow_id, created_at, id), so filters on flow, time or id
-        skip files by their min/max, and lookups by message_id or item_id use the bloom
-        filters. ``id`` is unique, so equal times cannot pile up in one range.
+        Rows are ranged by the interleaved places of flow, item and time, so filters on any
+        of them skip most files by their min/max, and lookups by message_id use the bloom
+        filters. ``id`` is unique, so equal places cannot pile up in one range.
         """
         covered = self._covered() | self._complete_batches()
         version = self.version() + 1
@@ -122,10 +140,14 @@ class ProcessedTable:
         self.spark.createDataFrame(
             list(covered.items()), "source string, upto bigint"
         ).coalesce(1).write.mode("overwrite").parquet(f"{target}/covered")
+        place = self._place()
         rows = persist.table_rows(persist.merge_states(self._states()), with_places=True)
+        order = ("_place", "created_at", "id", "position")
         (
-            rows.repartitionByRange("flow_id", "created_at", "id", "position")
-            .sortWithinPartitions("flow_id", "created_at", "id", "position")
+            rows.withColumn("_place", place)
+            .repartitionByRange(*order)
+            .sortWithinPartitions(*order)
+            .drop("_place")
             .write.mode("overwrite")
             .option("parquet.bloom.filter.enabled#message_id", "true")
             .option("parquet.bloom.filter.enabled#item_id", "true")
@@ -133,9 +155,20 @@ class ProcessedTable:
         )
         return version
 
+    def _place(self) -> Column:
+        """Where a row lies in the layout. The bounds come from plain scans of two columns."""
+        stored = self._new_deliveries().select(*_LAYOUT)
+        if self.version():
+            stored = stored.unionByName(self._snapshot().select(*_LAYOUT))
+        bounds = boundaries(stored, _LAYOUT)
+        return interleaved(
+            [(part_of(F.col(c).cast("bigint"), bounds[c]), bits) for c, bits in _LAYOUT.items()]
+        )
+
     def retire(self, versions: int = 2) -> None:
-        """Remove snapshots but for the newest ``versions``, and accepted deliveries that the
-        oldest of these covers. Rejected ones stay. Run it while nobody reads old versions."""
+        """Remove snapshots but for the newest ``versions``, and the batches that the oldest of
+        these covers; what they rejected is kept apart. Run it while nobody reads old
+        versions."""
         newest = self.version()
         oldest = max(1, newest - versions + 1)
         for name in files.partition_values(self.spark, f"{self.root}/snapshots", "version"):
@@ -146,13 +179,18 @@ class ProcessedTable:
                 folder = f"{self._log()}/source={source}"
                 for batch in files.partition_values(self.spark, folder, "batch_id"):
                     if int(batch) <= upto:
-                        files.remove(self.spark, f"{folder}/batch_id={batch}/outcome={ACCEPTED}")
+                        place = f"source={source}/batch_id={batch}"
+                        refused = f"{place}/outcome={REJECTED}"
+                        if files.exists(self.spark, f"{self._log()}/{refused}"):
+                            files.move(self.spark, f"{self._log()}/{refused}", f"{self.root}/refused/{refused}")
+                        files.remove(self.spark, f"{self._log()}/{place}")
 
     def publish_as(self, name: str) -> None:
         """Let a catalog name stand for the newest snapshot, as declared by ``create_table``."""
         location = f"{self._snapshot_path(self.version())}/rows"
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         create_table(self.spark, name, location)
+        # a table that was there shows the new files from one statement to the next
+        self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{location}'")
 
     # --- reading -------------------------------------------------------------------
 
@@ -192,7 +230,10 @@ class ProcessedTable:
 
     def rejected(self) -> DataFrame:
         """Deliveries the last stage refused."""
-        return self._read_log().where(F.col("outcome") == REJECTED).select(
+        found = self._read_log()
+        if files.exists(self.spark, f"{self.root}/refused"):
+            found = found.unionByName(self.spark.read.schema(DELIVERY).parquet(f"{self.root}/refused"))
+        return found.where(F.col("outcome") == REJECTED).select(
             "seq", F.col("reject_stage").alias("stage"), F.col("reject_reason").alias("reason"), "body"
         )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relaymill.operators import messages as M, persist
 from relaymill.plans import flows
 from relaymill.schema import PROCESSED, ROUTES
+from relaymill.sources import files
 from relaymill.sources.table import ProcessedTable, create_table, declared_columns, merge_into
 from tests.conftest import T0
 
@@ -374,6 +375,85 @@ def test_refused_rows_never_touch_the_table(spark, as_records, log):
     assert (lost.seq, lost.stage, lost.reason, lost.body) == (2, 4, "counter_out_of_range", bad)
 
 
+def test_layout_serves_item_and_time_alike(spark, tmp_path, monkeypatch):
+    """Of more than 100 files a lookup by item and one by time may concern a few only."""
+    import pyarrow.parquet as pq
+
+    n = 60_000
+    rows = spark.range(n).select(
+        F.col("id").alias("seq"), F.concat(F.lit("m"), "id").alias("message_id"),
+        (F.col("id") % 2 + 1).cast("int").alias("flow_id"),
+        (F.xxhash64("id") % 5000 + 5000).cast("int").alias("item_id"), F.lit("x").alias("initial_data"),
+        *[F.lit(None).cast(PROCESSED[c].dataType).alias(c) for c in ("counter_value", "metric_value", "examined_status", "verified_by")],
+        F.array().cast(PROCESSED["history_trail"].dataType).alias("history_trail"), F.lit("{}").alias("raw_payload"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 7).alias("created_at"),
+    )
+    table = ProcessedTable(spark, str(tmp_path))
+    table.deliver(rows, "q", 0)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "128")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table.compact()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    spans = []
+    for path in (tmp_path / "snapshots" / "version=1" / "rows").glob("*.parquet"):
+        meta = pq.ParquetFile(path).metadata
+        names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+        found = {}
+        for name in ("flow_id", "item_id", "created_at"):
+            stats = [meta.row_group(g).column(names.index(name)).statistics for g in range(meta.num_row_groups)]
+            found[name] = (min(s.min for s in stats), max(s.max for s in stats))
+        spans.append(found)
+    assert len(spans) >= 100
+
+    def concerned(**wanted):
+        return sum(all(s[c][0] <= v <= s[c][1] for c, v in wanted.items()) for s in spans)
+
+    one = rows.where("seq = 31000").first()
+    by_item = concerned(flow_id=one.flow_id, item_id=one.item_id)
+    by_time = concerned(created_at=spans[0]["created_at"][0].fromtimestamp(one.created_at.timestamp(), spans[0]["created_at"][0].tzinfo))
+    assert 1 <= by_item <= 16 and 1 <= by_time <= 32
+    got = table.scan().where((F.col("flow_id") == one.flow_id) & (F.col("item_id") == one.item_id))
+    assert one.message_id in {r.message_id for r in got.collect()} and table.scan().count() == n
+
+
+def test_retired_batches_leave_no_folders(spark, as_records, log):
+    bodies = [doc(message_id=f"m{i}") for i in range(4)] + [doc(item_id=None)]
+    for batch in range(6):
+        log.deliver(flows.finish_records(as_records(bodies), LAST, clock()), "q", batch)
+        if batch % 2:
+            log.compact()
+            log.retire(versions=1)
+            assert files.children(spark, f"{log.root}/deliveries/source=q") == []
+            assert log.scan().count() == 4 and log.rejected().count() == batch + 1
+    assert log._complete_batches() == {} and log.version() == 3 and log.current().count() == 4
+    assert files.partition_values(spark, f"{log.root}/snapshots", "version") == ["3"]
+
+
+def test_a_published_table_is_never_missing(spark, log, monkeypatch):
+    log.deliver(deliveries(spark, LOG), "q", 0)
+    log.compact()
+    log.publish_as("rm_swap.processed_messages")
+    first = spark.table("rm_swap.processed_messages").count()
+    seen, run = [], spark.sql
+
+    def watched(text, *args, **kwargs):
+        out = run(text, *args, **kwargs)
+        seen.append(spark.catalog.tableExists("rm_swap.processed_messages"))
+        return out
+
+    log.deliver(deliveries(spark, [(9000, "brand-new", 1, 2, None)]), "q", 1)
+    log.compact()
+    monkeypatch.setattr(spark, "sql", watched)
+    log.publish_as("rm_swap.processed_messages")
+    assert seen and all(seen)
+    assert spark.table("rm_swap.processed_messages").count() == first + 1
+    spark.catalog.refreshTable("rm_swap.processed_messages")
+
+
 def test_table_declaration(spark, tmp_path):
     create_table(spark, "rm_test.processed_messages", str(tmp_path / "t"))
     create_table(spark, "rm_test.processed_messages", str(tmp_path / "t"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from relaymill.operators import ingest, messages as M, persist
 from relaymill.plans import flows
 from relaymill.schema import QUEUES, REQUEST, ROUTES
-from relaymill.sources import queues
+from relaymill.sources import files, queues
 from relaymill.sources.requests import read_requests, stream_requests
 from relaymill.streaming import flow as streaming
 
@@ -120,6 +120,80 @@ def test_running_handlers_can_be_stopped(as_records, spark, tmp_path):
     assert cells(streaming.ProcessedTable(spark, root).current()) == expected(records)
 
 
+def test_requests_run_through_all_handlers(as_requests, spark, tmp_path):
+    """Seven queries from requests to the table; no queue is there before."""
+    root = str(tmp_path)
+    requests = as_requests([("/api/flow1", None), ("/api/flow2", '{"value": 31}'), ("/api/batch", '{"count": 2}')])
+    requests.write.parquet(f"{root}/requests")
+    running = streaming.start_all(spark, root, clock(), requests=stream_requests(spark, f"{root}/requests"))
+    try:
+        assert len(running) == 7
+        for _ in range(4):
+            for query in running:
+                query.processAllAvailable()
+    finally:
+        for query in running:
+            query.stop()
+    whole = persist.upsert(M.accepted(flows.finish(ingest.ingest(requests), None, clock())))
+    assert cells(streaming.ProcessedTable(spark, root).current()) == cells(whole)
+
+
+def test_competing_consumers_share_a_queue(as_records, spark, tmp_path):
+    """Each file goes to one of them; one that was stopped takes up its part later."""
+    root, queue = str(tmp_path), ROUTES[1][2]
+    records = as_records([body(i) for i in range(60)])
+
+    def work(*numbers):
+        for k in numbers:
+            streaming.start_persist(spark, root, queue, clock(), share=(k, 3)).awaitTermination()
+
+    queues.publish(records.where("seq <= 30").repartition(24, "seq"), root, queue)
+    work(0, 1, 2)
+    queues.publish(records.where("seq > 30").repartition(24, "seq"), root, queue)
+    work(2, 0)
+    table = streaming.ProcessedTable(spark, root)
+    partly = table.deliveries().count()
+    assert 30 <= partly < 60
+    work(1)
+    work(1, 2)  # nothing is left
+    assert table.deliveries().count() == 60 == table.deliveries().select("seq").distinct().count()
+    taken = table.deliveries().groupBy("source").count().collect()
+    assert len(taken) == 3 and all(r["count"] > 0 for r in taken)
+    assert cells(table.current()) == cells(persist.upsert(M.accepted(flows.finish_records(records, queue, clock()))))
+
+
+def test_many_micro_batches_leave_few_folders(as_records, spark, tmp_path, monkeypatch):
+    """What a merge covers goes with the next one, and merges wait until there is enough."""
+    monkeypatch.setattr(streaming, "MERGED_AFTER", 4)
+    root = str(tmp_path)
+    rows = M.accepted(
+        flows.finish_records(as_records([body(i, message_id=f"m{i}") for i in range(40)]), ROUTES[1][0], clock())
+    ).drop("body", "reject_stage", "reject_reason")
+    for low in range(0, 40, 2):
+        rows.where((F.col("seq") > low) & (F.col("seq") <= low + 2)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    streaming.start_upsert(source, root).awaitTermination()
+    folder = f"{root}/changes/upsert"
+    merged = files.partition_values(spark, folder, "upto")
+    left = files.partition_values(spark, folder, "batch_id")
+    assert 1 <= len(merged) <= 2 and len(left) <= 12
+    assert cells(streaming.upserted(spark, root)) == cells(persist.upsert(rows))
+
+
+def test_stateful_upsert_under_a_collation(as_records, spark, tmp_path):
+    root = str(tmp_path)
+    bodies = [body(1, message_id="Ab"), body(2, message_id="AB "), body(3, message_id="b")]
+    rows = M.accepted(flows.finish_records(as_records(bodies), ROUTES[1][0], clock())).drop(
+        "body", "reject_stage", "reject_reason"
+    )
+    for seq in (1, 2, 3):
+        rows.where(F.col("seq") == seq).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        streaming.start_upsert(source, root, collation="UNICODE_CI_RTRIM").awaitTermination()
+    assert cells(streaming.upserted(spark, root)) == cells(persist.upsert(rows, "UNICODE_CI_RTRIM"))
+    assert streaming.upserted(spark, root).count() == 2
+
+
 def test_stateful_upsert(as_records, spark, tmp_path):
     root = str(tmp_path)
     records = as_records([body(i) for i in range(30)])
