@@ -22,6 +22,8 @@ from relaymill.streaming import flow as streaming
 Query = Callable[[SparkSession, str], DataFrame]
 # Fixed value: how the declared table compares its keys.
 COLLATION = "UNICODE_CI_RTRIM"
+# What a micro-batch takes on at most: the handlers' counterpart of a prefetch limit.
+_TRIGGER_BYTES = 256 << 20
 
 
 def _clock() -> Column:
@@ -536,12 +538,31 @@ def _run_root(spark: SparkSession, name: str) -> str:
 def stream_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of both flows through six streaming handlers into the table."""
     root = _run_root(spark, "flow")
-    files = max(2, spark.sparkContext.defaultParallelism // 2)
+    _fill_first_queues(spark, sf_dir, root)
+    done = streaming.drain(spark, root, _clock(), max_bytes=_TRIGGER_BYTES)
+    return _shown(done.current())
+
+
+def stream_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents, some of them faulty, through the handlers into the bucketed table of
+    the catalog, in several micro-batches."""
+    root = _run_root(spark, "bucketed-flow")
     for flow, route in ROUTES.items():
-        waiting = fixtures.records(spark, sf_dir, flow).repartition(2 * files, "seq")
+        waiting = fixtures.faulty_records(spark, sf_dir, flow).repartition(4, "seq")
+        queues.publish(waiting, root, route[0])
+    table = _bucketed(spark)
+    refused = streaming.drain(spark, root, _clock(), max_files=3, into=table).rejected()
+    table.merge_if_due()
+    rows = table.scan().select("id", "message_id", "item_id", "counter_value", "metric_value")
+    again = refused.select("seq", "reason").withColumnRenamed("seq", "id")
+    return rows.unionByName(again, allowMissingColumns=True)
+
+
+def _fill_first_queues(spark: SparkSession, sf_dir: str, root: str) -> None:
+    cores = spark.sparkContext.defaultParallelism
+    for flow, route in ROUTES.items():
+        waiting = fixtures.records(spark, sf_dir, flow).repartition(cores, "seq")
         queues.publish(waiting, root, route[0])
-    done = streaming.drain(spark, root, _clock(), max_files=files)
-    return _shown(done.current())
 
 
 def stream_competing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -687,6 +708,7 @@ QUERIES: dict[str, Query] = {
         replica_digest_diff,
         replica_latest,
         stream_end_to_end,
+        stream_bucketed,
         stream_competing,
         stream_ingest_end_to_end,
         stream_json_queues,

@@ -380,6 +380,14 @@ def statements() -> dict[str, str]:
           SELECT *, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT)
           FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM a)""",
         "stream_end_to_end": f"WITH {_MESSAGES} SELECT seq AS id, * EXCLUDE (seq) FROM s",
+        "stream_bucketed": f"""WITH {_FAULTS}
+          SELECT seq AS id, message_id, CAST(seq AS INTEGER) AS item_id,
+                 CASE WHEN flow = 1 THEN CAST(CASE WHEN fault = 53 THEN 0 ELSE k END + 10 AS INTEGER) END AS counter_value,
+                 CASE WHEN flow = 2 THEN CAST(CASE WHEN fault = 53 THEN 0 ELSE {_SCALED} END AS DECIMAL(10,2)) END AS metric_value,
+                 NULL AS reason
+          FROM x WHERE fault IN (0, 41, 53)
+          UNION ALL
+          SELECT seq, NULL, NULL, NULL, NULL, reason FROM ({_rejects()}) WHERE stage = 4""",
         "stream_competing": f"WITH {_MESSAGES} SELECT seq AS id, * EXCLUDE (seq) FROM s",
         "stream_ingest_end_to_end": f"""WITH {_ALL}, z AS ({_saved("every", ", position")})
           SELECT seq AS id, * EXCLUDE (seq) FROM z""",

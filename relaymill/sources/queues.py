@@ -100,6 +100,14 @@ def dead_letters(
     )
 
 
+def _limited(reader, max_files: int | None, max_bytes: int | None):
+    if max_files is not None and max_bytes is not None:
+        raise ValueError("a micro-batch is bounded by files or by bytes, not by both")
+    if max_files is not None:
+        return reader.option("maxFilesPerTrigger", max_files)
+    return reader if max_bytes is None else reader.option("maxBytesPerTrigger", max_bytes)
+
+
 def stream_queue(
     spark: SparkSession,
     root: str,
@@ -107,13 +115,13 @@ def stream_queue(
     max_files: int | None = None,
     format: str = "parquet",
     share: tuple[int, int] | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """A queue as a stream. ``max_files`` bounds what one micro-batch takes on, the
-    counterpart of a consumer's prefetch limit. ``share`` (k, n) is the k-th of n parts of the
-    files, by a hash of their names; the other files are not opened."""
-    reader = _reader(spark.readStream, format)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+    """A queue as a stream. ``max_files`` or ``max_bytes`` bounds what one micro-batch takes on,
+    the counterpart of a consumer's prefetch limit. The work goes with the bytes, files may be
+    of any size; a single file is always taken whole. ``share`` (k, n) is the k-th of n parts
+    of the files, by a hash of their names; the other files are not opened."""
+    reader = _limited(_reader(spark.readStream, format), max_files, max_bytes)
     found = reader.load(queue_path(root, queue))
     if share is not None:
         part = F.pmod(F.xxhash64("_metadata.file_name"), F.lit(share[1]))
@@ -156,3 +164,20 @@ def stream_topic(
         F.col("timestamp").alias("clock"),
         F.col("value").cast("string").alias("body"),
     )
+
+
+def to_topic(records: DataFrame) -> DataFrame:
+    """Queue records as rows for a Kafka topic. The key is the message id, so the deliveries of a
+    message stay in one topic partition and in order; what a stage refused goes elsewhere."""
+    kept = with_outcome(records).where(F.col("outcome") == ACCEPTED)
+    return kept.select(F.get_json_object("body", "$.message_id").alias("key"), F.col("body").alias("value"))
+
+
+def sink_topic(records: DataFrame, servers: str, queue: str):
+    """Stream writer to the Kafka topic named after the queue. At least once, as brokers do: the
+    upsert at the end makes that once. Not run here: the connector is not installed."""
+    handler_of(queue)
+    return (
+        to_topic(records).writeStream.format("kafka").outputMode("append")
+        .option("kafka.bootstrap.servers", servers).option("topic", queue)
+    )

@@ -9,6 +9,7 @@ from relaymill.operators import ingest, messages as M, persist
 from relaymill.plans import flows
 from relaymill.schema import QUEUES, REQUEST, ROUTES
 from relaymill.sources import files, queues
+from relaymill.sources.bucketed import BucketedTable
 from relaymill.sources.requests import read_requests, stream_requests
 from relaymill.streaming import flow as streaming
 
@@ -138,6 +139,36 @@ def test_requests_run_through_all_handlers(as_requests, spark, tmp_path):
     assert cells(streaming.ProcessedTable(spark, root).current()) == cells(whole)
 
 
+def test_micro_batches_are_bounded_by_bytes(as_records, spark, tmp_path):
+    root, queue = str(tmp_path), ROUTES[1][0]
+    queues.publish(as_records([body(i) for i in range(30)]).repartition(6, "seq"), root, queue)
+    with pytest.raises(ValueError):
+        queues.stream_queue(spark, root, queue, max_files=1, max_bytes=1)
+    query = streaming.start_hop(spark, root, queue, clock(), max_bytes=1)
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 6  # one file is always taken
+    assert queues.consume(spark, root, ROUTES[1][1]).count() == 30
+
+
+def test_into_a_bucketed_table(as_records, spark, tmp_path):
+    root = str(tmp_path)
+    records = as_records([body(i) for i in range(40)] + [body(1, item_id=None)])
+    for route in ROUTES.values():
+        queues.publish(records.where("false"), root, route[0])
+    queues.publish(records.repartition(5, "seq"), root, ROUTES[1][0])
+    table = BucketedTable(spark, f"rm_stream_{tmp_path.name}.processed", f"{root}/table", buckets=4)
+    log = streaming.drain(spark, root, clock(), max_files=2, into=table)
+    assert cells(table.scan()) == expected(records)
+    assert log.deliveries().count() == 0 and [r.reason for r in log.rejected().collect()] == ["item_id_missing"]
+
+
+def test_rows_for_a_topic(as_records):
+    records = as_records([body(1), body(9)]).withColumns(
+        {"reject_stage": F.lit(None).cast("int"), "reject_reason": F.when(F.col("seq") == 2, "x")}
+    )
+    assert [tuple(r) for r in queues.to_topic(records).collect()] == [("m1", body(1))]
+
+
 def test_competing_consumers_share_a_queue(as_records, spark, tmp_path):
     """Each file goes to one of them; one that was stopped takes up its part later."""
     root, queue = str(tmp_path), ROUTES[1][2]
