@@ -9,6 +9,7 @@ in both. Tests hold the two against each other.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import tiktoken
@@ -16,6 +17,13 @@ import tiktoken
 # Fixed value: the word pattern of this family of byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# Fixed value: white space as the pattern understands it.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The pattern's engine goes back over a run of white space with a bounded stack; longer runs
+# than this are cut out beforehand.
+LONGEST_RUN = 50_000
+_RUN = re.compile(f"[{_SPACES}]{{{LONGEST_RUN},}}")
+
 
 def _byte_of_symbol() -> dict[str, int]:
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -40,6 +48,18 @@ class Encoder:
         self._special = set(special)
 
     def encode(self, text: str) -> list[int]:
+        if len(text) < LONGEST_RUN:
+            return self._words(text)
+        ids, at = [], 0
+        for run in _RUN.finditer(text):
+            # the last one of a run belongs to the word behind it
+            end = run.end() - (run.end() < len(text))
+            ids += self._words(text[at : run.start()])
+            ids += self._encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + self._words(text[at:])
+
+    def _words(self, text: str) -> list[int]:
         return self._encoding.encode(text, allowed_special=self._special)
 
 

@@ -29,12 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relaymill.llm import byte_tokens
+from relaymill.llm.ordered import ranged, running
 from relaymill.llm.tables import materialised, table
 from relaymill.llm.tokens import vocabulary_path
 
 WINDOW = 2048
 LANE_TOKENS = 1 << 20
-LEAST_PIECE = 256
+# A source sends once it may send that many tokens, so those with 1.6 % or more are in every
+# window; smaller pieces would be many rows for little.
+LEAST_PIECE = 32
 END_MARK = 1
 
 TOKENISED = "doc_id long, source string, n_tokens long, ids binary"
@@ -154,12 +157,14 @@ def packed(
 def _lane_plans(ids: DataFrame, targets: dict[str, float] | None, lanes: int, total: int) -> DataFrame:
     """One row per lane and source in it: the source's share and what it carries.
 
-    The rows are as many as lanes times sources; the running sums go over whole lanes, source
-    by source. `share` is set on these rows only, which tells them from documents.
+    What a source carries into a lane is its share of all tokens of the lanes before, with or
+    without documents of the source, less its own tokens there. The running sums go over
+    whole lanes. `share` is set on these rows only, which tells them from documents.
     """
     sums = ids.groupBy("source", "lane").agg(F.sum("n_tokens").alias("tokens"))
     by_source = sums.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
     by_lane = sums.groupBy("lane").agg(F.sum("tokens").alias("lane_tokens"))
+    passed = running(ranged(by_lane, "pack-lanes", "lane"), ("lane",), {"passed": F.col("lane_tokens")})
     natural = F.col("source_tokens") / F.lit(max(total, 1))
     if targets:
         named = F.create_map(*(x for k, v in targets.items() for x in (F.lit(k), F.lit(float(v)))))
@@ -169,10 +174,10 @@ def _lane_plans(ids: DataFrame, targets: dict[str, float] | None, lanes: int, to
     shares = by_source.select(F.col("source").alias("of"), share.alias("share"))
     before = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        sums.join(by_lane, "lane")
+        sums.withColumn("sent", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+        .join(passed.select("lane", "passed"), "lane")
         .join(shares, F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("due", F.col("share") * F.col("lane_tokens"))
-        .withColumn("carried", F.coalesce(F.sum(F.col("due") - F.col("tokens")).over(before), F.lit(0.0)))
+        .withColumn("carried", F.col("share") * F.col("passed") - F.col("sent"))
         .select("lane", "source", "share", "carried")
     )
 

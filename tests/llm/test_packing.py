@@ -32,6 +32,65 @@ def test_ids_equal_the_library(library):
         assert byte_tokens.from_bytes(byte_tokens.to_bytes(ids)).tolist() == ids
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        " " * 2_000_000,
+        "\n" * 2_000_000,
+        "ab" + " " * 120_000 + "cd <|endoftext|> x" + "\n" * 60_000 + "'s",
+        "x " + " \n\t\u3000\x85" * 20_000 + "!",
+        "q" + "\t" * 70_000,
+        "a" + " " * 60_000 + "\x1c" * 60_000 + "b",
+    ],
+)
+def test_long_runs_of_white_space(library, text):
+    assert byte_tokens.Encoder(PATH).encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def deviation(rows, target, window):
+    """Per window, until the first queue of its lane is empty: sum of |share - target|."""
+    windows, lanes = defaultdict(Counter), defaultdict(list)
+    last = {}
+    for r in rows:
+        windows[r.sequence_id][r.source] += r.length
+        lane = r.sequence_id >> 32
+        last[lane, r.source] = max(last.get((lane, r.source), 0), r.sequence_id)
+    ends = {}
+    for (lane, _), sequence in last.items():
+        ends[lane] = min(ends.get(lane, sequence), sequence)
+    return [
+        sum(abs(counts[s] / window - share) for s, share in target.items())
+        for sequence, counts in windows.items()
+        if sequence < ends[sequence >> 32]
+    ]
+
+
+@pytest.mark.parametrize("targets", [None, {f"src{i}": 0.025 if i % 2 else 0.075 for i in range(20)}])
+def test_twenty_sources_in_every_window(spark, targets):
+    """At the settings of the query, with the sources' own shares and with given ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = P.packed(docs, PATH, targets).collect()
+    total, own = sum(r.length for r in rows), Counter()
+    for r in rows:
+        own[r.source] += r.length / total
+    off = deviation(rows, targets or own, P.WINDOW)
+    assert len(off) > 20 and np.mean(off) < 0.2
+
+
+def test_a_rare_source_is_owed_what_lanes_without_it_had(spark):
+    docs = spark.createDataFrame(
+        [(i, "a b c d e f g h", "big") for i in range(400)] + [(1000, "x " * 300, "rare")],
+        "doc_id long, text string, source string",
+    )
+    ids = P.tokenised(docs, PATH).withColumn("lane", F.when(F.col("source") == "rare", 7).otherwise(F.col("doc_id") % 8).cast("int"))
+    total = ids.agg(F.sum("n_tokens")).first()[0]
+    plans = {(r.lane, r.source): r for r in P._lane_plans(ids, None, 8, total).collect()}
+    before = ids.where("lane < 7").agg(F.sum("n_tokens")).first()[0]
+    rare = plans[7, "rare"]
+    assert len(plans) == 9 and abs(rare.carried - rare.share * before) < 1e-6
+    assert abs(plans[7, "big"].carried + rare.carried) < 1e-6
+
+
 def check(rows, texts, library, window):
     """Every id in one piece, windows gapless and full but for one a lane."""
     by_doc, by_window = defaultdict(list), defaultdict(list)

@@ -47,6 +47,27 @@ def test_one_of_each_group_stays(stages):
     assert sorted(r.doc_id for r in after) == sorted(expected)
 
 
+def test_near_copies_under_repeated_and_missing_ids(spark):
+    """A document is its id and its text; two runs keep the same rows."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    near = one.replace("a59", "x")
+    rows = [
+        (5, one, "en", "s", 1), (5, one, "de", "s", 1), (5, two, "en", "s", 2), (3, near, "en", "s", 3),
+        (None, two, "en", "s", 2), (None, two, "en", "s", 2), (None, "alone here", "en", None, 4),
+        (7, None, "en", "s", None), (7, "", "en", "s", 0), (None, None, None, None, None), (8, one, "en", "s", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wanted = [
+        (3, near, "en", "s", 3), (5, two, "en", "s", 2), (None, "alone here", "en", None, 4),
+        (7, None, "en", "s", None), (7, "", "en", "s", 0), (None, None, None, None, None),
+    ]
+    for part in (docs, docs.repartition(4, "text").orderBy(F.rand(1))):
+        kept = corpus_pipeline.keep_one_of_near_copies(spark, part, SF)
+        assert tuple(kept.columns) == DOCUMENT_COLUMNS
+        got = sorted((tuple(r) for r in kept.collect()), key=repr)
+        assert got == sorted(((d, t, lang, s, n) for d, t, lang, s, n in wanted), key=repr)
+
+
 def test_no_secret_stays_and_the_rest_is_unchanged(stages):
     before, after = stages["secret scans"]
     texts = {r.doc_id: r.text for r in before}
