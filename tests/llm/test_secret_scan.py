@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from relaymill.llm import secret_rules
@@ -86,3 +89,40 @@ def test_odd_rows(odd_docs, no_docs):
     assert S.scanned(clash).count() == odd_docs.count()
     assert S.scanned(no_docs).count() == 0
     assert S.masked(odd_docs).count() == odd_docs.count()
+
+
+def by_patterns(data):
+    """All patterns tried from every place, places counted one by one."""
+    found = []
+    for index, (_, pattern, group, least) in enumerate(secret_rules.PATTERNS):
+        for match in re.finditer(pattern, data):
+            begin, end = match.span(group)
+            if end - begin >= least:
+                found.append((len(data[: match.start()].decode()), len(data[: match.end()].decode()), index))
+    return sorted(found, key=lambda x: (x[0], x[2]))
+
+
+def test_runs_searched_from_behind_equal_the_patterns():
+    rng = random.Random(5)
+    parts = ["://", "a", "http", "1", "+", ":", "@", "/", "user", "é", " ", "eyJ", ".eyJ", "eyJabcdefghijklmnop", ".",
+             "-", "_", "pass:word@", "password=abcdefghijklmnop", "AKIA", "0123456789abcdef0", "x" * 20, "\n", "token: "]
+    for _ in range(4000):
+        data = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25))).encode()
+        assert secret_rules.scan(data) == by_patterns(data), data
+
+
+@pytest.mark.parametrize(
+    "data,findings",
+    [
+        (b"a" * 1_000_000 + b" http://x", 1),
+        (b"g" * 1_000_000 + b"http://x", 0),
+        (b"eyJ" * 350_000 + b".x", 0),
+        (b"1://a:b@" * 130_000, 0),
+        (("é token=abcdefghijkl1 " * 50_000).encode(), 50_000),
+        (b"http://user:password@ " * 50_000, 50_000),
+    ],
+)
+def test_a_megabyte_takes_no_more_than_seconds(data, findings):
+    began = time.process_time()
+    assert len(secret_rules.scan(data)) == findings
+    assert time.process_time() - began < 2
