@@ -149,15 +149,27 @@ def fingerprints(texts: list[str], edits: list[tuple[int, str]]) -> tuple[np.nda
     return plain, edited
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, with one bit per character of the shorter text."""
-    while a and b and a[0] == b[0]:
-        n = 1
-        while a[: 2 * n] == b[: 2 * n] and n < min(len(a), len(b)):
-            n *= 2
-        a, b = (a[n:], b[n:]) if a[:n] == b[:n] else (a[1:], b[1:])
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+def _shared(a: str, b: str) -> int:
+    """Length of the common beginning, by steps that double and then halve."""
+    most, low, step = min(len(a), len(b)), 0, 1
+    while low < most and a[low : low + step] == b[low : low + step]:
+        low, step = min(low + step, most), 2 * step
+    while step:
+        step //= 2
+        if step and a[low : low + step] == b[low : low + step]:
+            low = min(low + step, most)
+    return low
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, with one bit per character of the shorter text.
+
+    Beyond `most` it is not carried on: then the result is some number above `most`.
+    """
+    n = _shared(a, b)
+    a, b = a[n:], b[n:]
+    n = _shared(a[::-1], b[::-1])
+    a, b = a[: len(a) - n], b[: len(b) - n]
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -165,9 +177,13 @@ def edit_distance(a: str, b: str) -> int:
     occurs: dict[str, int] = {}
     for i, c in enumerate(a):
         occurs[c] = occurs.get(c, 0) | 1 << i
+    if most is not None and len(b) - len(a) > most:
+        return most + 1
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, distance = full, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b), 0, -1), b):
+        if most is not None and distance - left > most:  # every character takes off one at most
+            return most + 1
         eq = occurs.get(c, 0)
         x = eq | down
         d0 = ((((x & up) + up) ^ up) | x) & full

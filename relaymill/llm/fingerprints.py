@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, most_edits: float = 0.1) -> DataFrame:
                 most = int(most_edits * max(len(row["text"]), len(row["near_text"])) + 1e-9)
                 if not near_sketch.may_be_near(row["text"], row["near_text"], most):
                     continue
-                edits = edit_embedding.edit_distance(row["text"], row["near_text"])
+                edits = edit_embedding.edit_distance(row["text"], row["near_text"], most)
                 if edits <= most:
                     a, b = row["doc_id"], row["near_id"]
                     if b is None or (a is not None and a < b):

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -198,3 +199,27 @@ def test_members_of_a_group_are_compared_with_each_other(spark):
             if (b is None, b or 0) < (a is None, a or 0) and edits <= 0.1 * max(len(x), len(y)):
                 expected.add((a, b, edits))
     assert found == expected and any(a is None for a, *_ in found)
+
+
+def test_distance_up_to_a_bound_and_with_long_common_ends():
+    rng = random.Random(8)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    for _ in range(1500):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        edits = plain(a, b)
+        assert E.edit_distance(a, b) == edits
+        for most in range(6):
+            found = E.edit_distance(a, b, most)
+            assert found == edits if edits <= most else found > most
+    long = "abcdefgh" * 60_000
+    began = time.process_time()
+    assert E.edit_distance("1" + long, "2" + long) == 1 == E.edit_distance(long + "1", long + "2")
+    assert time.process_time() - began < 1
