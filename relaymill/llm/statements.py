@@ -158,10 +158,70 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transfo
 FROM p JOIN folded USING (doc_id)"""
 
 
+_CRC_OF_TURN = _CRC.format(
+    bytes="list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || "
+    "coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: ascii(c))"
+)
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_DUE = "CASE WHEN n.q2 = 2 THEN 'assistant' ELSE 'user' END"
+
+# Row by row the best (cost, edits) for each state of the grammar: 0 nothing yet, 1 system,
+# 2 user, 3 assistant. More than two insertions in a row come back to a state for more.
+_REPAIR = f"""WITH RECURSIVE d AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC_OF_TURN} % 20 AS harm
+        FROM conversations), unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(copy)), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) - 1 AS i,
+         left(role, 1) AS c, rtrim(text, {_BLANKS}) AS t
+  FROM d), f AS (
+  SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair,
+         CASE WHEN t = '' THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'sound' END AS fault
+  FROM o), s AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 0 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id), n(q, k, q2, put) AS (VALUES
+  (0, 0, 0, []::VARCHAR[]), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']),
+  (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']),
+  (2, 0, 2, []), (2, 1, 3, ['assistant:']), (3, 0, 3, []), (3, 1, 2, ['user:'])), p(conv_id, i, q, cost, audit, lines) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', []::VARCHAR[] FROM s
+  UNION ALL
+  SELECT conv_id, i + 1, q2, CAST(left(min(k), 9) AS BIGINT), substr(min(k), 10), arg_min(lines, k)
+  FROM (
+    SELECT p.conv_id, p.i, CASE op WHEN 'D' THEN n.q2 WHEN 'R' THEN CASE WHEN n.q2 = 2 THEN 3 ELSE 2 END
+             ELSE CASE WHEN f.c = 's' AND n.q2 = 0 THEN 1 WHEN f.c = 'u' AND n.q2 IN (0, 1, 3) THEN 2
+                       WHEN f.c = 'a' AND n.q2 = 2 THEN 3 END END AS q2,
+           lpad(CAST(p.cost + 2 * n.k + price + CASE WHEN op <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS VARCHAR), 9, '0')
+             || p.audit || repeat('I', n.k) || op AS k,
+           list_concat(list_concat(p.lines, put), CASE op WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
+                       ELSE [{_DUE} || ':' || text] END) AS lines
+    FROM p JOIN n USING (q) JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i,
+         (VALUES ('K', 0), ('R', 2), ('D', 3)) e(op, price)
+    WHERE op = 'D' OR fault NOT IN ('blank', 'duplicate'))
+  WHERE q2 IS NOT NULL GROUP BY conv_id, i, q2), g AS (
+  SELECT p.conv_id, min(k) AS k, arg_min(lines, k) AS lines
+  FROM (SELECT p.conv_id, p.i, n.q2, list_concat(p.lines, put) AS lines,
+               lpad(CAST(p.cost + 2 * n.k AS VARCHAR), 9, '0') || p.audit || repeat('I', n.k) AS k
+        FROM p JOIN n USING (q)) p
+  JOIN s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.n = p.i
+  WHERE q2 IN (0, 3) GROUP BY p.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(CAST(left(k, 9) AS BIGINT), 0) AS cost, coalesce(substr(k, 10), '') AS audit,
+       sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op1_ngram_jaccard": _JACCARD,
         "op7_quality_rules": _QUALITY,
         "op11_mixing": _MIXING,
         "op12_merkle": _MERKLE,
+        "op13_conversation_repair": _REPAIR,
     }
