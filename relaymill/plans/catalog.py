@@ -604,16 +604,18 @@ def stream_ingest_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_json_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flow 1's documents in JSON files through a streaming handler into JSON files."""
+    """The documents of both flows in JSON files through streaming handlers into JSON files."""
     root = _run_root(spark, "json")
-    first, second = ROUTES[1][:2]
-    queues.publish(fixtures.records(spark, sf_dir, 1), root, first, "json")
-    streaming.start_hop(spark, root, first, _clock(), format="json").awaitTermination()
-    taken = queues.consume(spark, root, second, "json")
-    return taken.select(
+    taken = []
+    for flow, (first, second, _) in ROUTES.items():
+        queues.publish(fixtures.records(spark, sf_dir, flow), root, first, "json")
+        streaming.start_hop(spark, root, first, _clock(), format="json").awaitTermination()
+        taken.append(queues.consume(spark, root, second, "json"))
+    return reduce(DataFrame.unionByName, taken).select(
         "seq",
         F.get_json_object("body", "$.message_id").alias("message_id"),
         F.get_json_object("body", "$.counter").cast("bigint").alias("counter"),
+        F.get_json_object("body", "$.value").cast("double").alias("value"),
         F.get_json_object("body", "$.history").alias("history"),
         F.col("clock").cast("timestamp_ntz").alias("clock"),
     )
@@ -727,8 +729,8 @@ def queries() -> dict[str, Query]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of both flows through all stages, upserted; the ten newest rows."""
+    """All requests, single and batch, through all stages, upserted; the ten newest rows."""
     configure(spark)
-    made = ingest.direct_messages(fixtures.requests(spark, sf_dir))
+    made = ingest.ingest(fixtures.all_requests(spark, sf_dir))
     rows = M.accepted(flows.finish(made, None, _clock()))
     return inspect.latest(persist.upsert(rows), 10).withColumn("created_at", _wall())

@@ -392,8 +392,10 @@ def statements() -> dict[str, str]:
         "stream_ingest_end_to_end": f"""WITH {_ALL}, z AS ({_saved("every", ", position")})
           SELECT seq AS id, * EXCLUDE (seq) FROM z""",
         "stream_json_queues": f"""WITH {_MESSAGES}
-          SELECT seq, message_id, k + 10 AS counter, {_trail(1, 2)} AS history, clock
-          FROM w WHERE flow = 1""",
+          SELECT seq, message_id, CASE WHEN flow = 1 THEN k + 10 END AS counter,
+                 CASE WHEN flow = 2 THEN {_SCALED} END AS value,
+                 CASE WHEN flow = 1 THEN {_trail(1, 2)} ELSE {_trail(2, 2)} END AS history, clock
+          FROM w""",
         "stream_rejected": _rejects(),
         "stream_upsert": table,
         "stream_upsert_collated": table,

@@ -155,6 +155,16 @@ class ProcessedTable:
         )
         return version
 
+    def compact_if_due(self, share: float = 0.25) -> bool:
+        """Make a snapshot once the new deliveries are that share of the last one. A snapshot
+        costs what the whole table does; this way that stays in proportion to the deliveries,
+        and ``current`` merges the few that wait."""
+        new = self._new_deliveries().count()
+        due = new > share * (self._snapshot().count() if self.version() else 0)
+        if due:
+            self.compact()
+        return due
+
     def _place(self) -> Column:
         """Where a row lies in the layout. The bounds come from plain scans of two columns."""
         stored = self._new_deliveries().select(*_LAYOUT)
