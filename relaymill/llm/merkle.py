@@ -221,6 +221,8 @@ def manifest(leaves: DataFrame, levels: int = LEVELS) -> Manifest:
 _FOLD = """aggregate(path, digest, (d, s) -> sha2(CASE WHEN s.sibling IS NULL THEN d
   WHEN s.on_left THEN concat(lower(hex(s.sibling)), d) ELSE concat(d, lower(hex(s.sibling))) END, 256))"""
 _APPEND = "aggregate(path, proof, (p, s) -> concat(p, coalesce(s.sibling, CAST('' AS BINARY))))"
+
+
 def _climb(levels: int) -> str:
     return f"""WITH RECURSIVE climb(doc_id, leaf, tree, block, step, digest, proof, subroot, root) AS (
   SELECT doc_id, leaf, tree, block, 1, {_FOLD}, {_APPEND}, CAST(NULL AS STRING), CAST(NULL AS STRING)
