@@ -9,8 +9,8 @@ The sample is SAMPLE_DOCUMENTS segments of SEGMENT characters per language: a fi
 parameter, as the network has a few thousand weights.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; equal texts get
-equal labels; with no labelled document at all everything is `und`; a null doc_id is held
-counts as an empty text when it is decided what is held out; an empty table
+equal labels; with no labelled document at all everything is `und`; a null doc_id counts as
+an empty text when it is decided what is held out; an empty table
 gives an empty result; clashing columns of the input are replaced.
 """
 
