@@ -14,6 +14,9 @@ from relaymill.operators import messages as M
 from relaymill.schema import PATH_BATCH, PATH_FLOW1, PATH_FLOW2
 
 REDELIVERY_OFFSET = 1_000_000_000
+# Events that one task takes on. An event has some twenty bytes in its file, and what it becomes has
+# some thousand, which tasks sort; so tasks are bounded by rows and not by bytes of the input.
+ROWS_PER_TASK = 50_000
 
 
 def _divides(n: int) -> Column:
@@ -21,22 +24,37 @@ def _divides(n: int) -> Column:
 
 
 def spread(rows: DataFrame, key: str = "seq") -> DataFrame:
-    """Use all cores where the files give fewer tasks than there are cores.
+    """Use all cores, and as many tasks as keep each below ``ROWS_PER_TASK``, where the files
+    give fewer tasks.
 
     Handling a record costs far more than moving it, and a file of one row group cannot be
-    split by the scan. Inputs with enough files, i.e. all big ones, stay as they are and
+    split by the scan. Inputs that are split finely enough stay as they are and
     are not shuffled. The key must be close to unique; hashing it sends a record to the
     same task again when a lost one is run once more.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
+    wanted = max(cores, tasks_for(rows.count()))
+    if rows.rdd.getNumPartitions() >= wanted:
         return rows
-    return rows.repartition(cores, key)
+    return rows.repartition(wanted, key)
+
+
+def tasks_for(n_rows: int) -> int:
+    """Tasks that keep each below ``ROWS_PER_TASK``."""
+    return max(1, -(-n_rows // ROWS_PER_TASK))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """The same for all events: of the files or buckets to which what they become is dealt."""
+    return tasks_for(_table(spark, sf_dir).count())
+
+
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    return spread(table, "event_id").select(
+    return spread(_table(spark, sf_dir), "event_id").select(
         F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp").alias("clock"),
         F.when(F.col("event_type").isin("purchase", "error"), F.lit(2))
